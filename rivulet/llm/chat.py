@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from rivulet.llm.common import partitions
+from rivulet.llm.common import partitions, ship
 
 #: Fixed values.
 CONTROLS = ("<s>", "</s>", "[ROLE]", "[/ROLE]", "[INST]", "[/INST]")
@@ -229,7 +229,7 @@ def digests(segments: DataFrame) -> DataFrame:
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """op2: all conversations and conversation -7, which comes as a list of messages, formatted and read back."""
     said = "</s>[INST] ok [/INST]"
-    more = spark.createDataFrame([(-7, [("user", said), ("assistant", said)])], "conv_id long, messages array<struct<role:string,content:string>>")
+    more = ship(spark).createDataFrame([(-7, [("user", said), ("assistant", said)])], "conv_id long, messages array<struct<role:string,content:string>>")
     turns = canonical_turns(spark.read.parquet(f"{sf_dir}/conversations.parquet")).unionByName(canonical_turns(more))
     return digests(format_turns(turns))
 

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from rivulet.llm import chat, fingerprints, packing, quality, secrets, sharding, tokenfile
+from rivulet.llm import chat, fingerprints, lm, mixing, neardup, packing, quality, secrets, sharding, tokenfile
 
 QUERIES = {
     "op1_quality_rules": quality.query,
     "op2_chat_format": chat.query,
+    "op3_ngram_join": neardup.query,
+    "op4_mixing": mixing.query,
     "op5_fingerprints": fingerprints.query,
+    "op6_lm_score": lm.query,
     "op7_sharding": sharding.query,
     "op8_secret_scan": secrets.query,
     "op9_token_file": tokenfile.query,
