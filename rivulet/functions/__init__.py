@@ -1,0 +1 @@
+"""Types, expressions and scalar functions of the language."""

@@ -1,0 +1 @@
+"""The language: scripts to syntax trees, and graphs to DataFrames."""

@@ -1,0 +1 @@
+"""Text and Parquet sources and sinks."""

@@ -1,0 +1 @@
+"""Stateless graphs over streaming inputs."""
