@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections import defaultdict
 from collections.abc import Callable
 from dataclasses import dataclass
@@ -48,6 +49,16 @@ class Graph:
             raise LanguageError("the graph has a cycle")
         return cls(nodes, edges, order)
 
+    def to_json(self) -> str:
+        """The checked graph as text, which from_json() reads."""
+        return json.dumps({"nodes": [[o.name, o.kind, o.params] for o in self.nodes.values()], "edges": self.edges, "order": self.order})
+
+    @classmethod
+    def from_json(cls, text: str) -> Graph:
+        x = json.loads(text)
+        nodes = {n: Operator(n, k, [(a, b) for a, b in p]) for n, k, p in x["nodes"]}
+        return cls(nodes, [(a, b) for a, b in x["edges"]], x["order"])
+
     def run(self, spark: SparkSession, given: dict[str, Relation] | None = None) -> dict[str, Relation]:
         """The relation at the end of every open output, by operator. Sinks (write, devNull) run at once.
 

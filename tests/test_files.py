@@ -89,3 +89,46 @@ def test_sorted_output_is_in_order(spark, tmp_path):
 def test_binary_mode_is_parquet(spark, tmp_path):
     Graph.parse(f'g = generate[output="RECORDCOUNT AS i", numRecords=3]; w = write[file="{tmp_path}/o"]; g -> w;').run(spark)
     assert sorted(rows(run(spark, f'r = read[file="{tmp_path}/o"];'))) == [(0,), (1,), (2,)]
+
+
+def test_organized_tables(spark, tmp_path):
+    from rivulet.functions.types import parse_format
+    from rivulet.sources.organized import read_organized
+
+    for minor, day, batch in ((1, "20240101", 7), (1, "20240102", 8), (2, "20240102", 9)):
+        folder = tmp_path / f"3_2/sales/5/{minor}/{day}/{batch}"
+        folder.mkdir(parents=True)
+        for serial in range(2):
+            put(folder / f"serial_{serial:05d}", [f"{batch}\t{serial}"])
+    fields = parse_format("a INTEGER, b INTEGER")
+    got = read_organized(spark, str(tmp_path), 3, 2, "sales", 5, fields, "MinorNumber = 1 AND Date > CAST('2024-01-01' AS DATE) OR BatchId = 9")
+    assert sorted(rows(got.visible())) == [(8, 0), (8, 1), (9, 0), (9, 1)]
+    assert len(read_organized(spark, str(tmp_path), 3, 2, "sales", 5, fields).df.inputFiles()) == 6
+    with pytest.raises(LanguageError):
+        read_organized(spark, str(tmp_path), 3, 2, "sales", 5, fields, "BatchId = 1")
+
+
+def test_command_line(spark, tmp_path, capsys):
+    from rivulet.__main__ import main
+
+    script = put(tmp_path / "s", ['g = generate[output="RECORDCOUNT AS k, RECORDCOUNT % 2LL AS m", numRecords=6];'])
+    main(["--file", script, "--compile"])
+    plan = put(tmp_path / "plan", [capsys.readouterr().out])
+    main(["--plan", plan, "--output", str(tmp_path / "out")], spark)
+    assert sorted(r[0] for r in spark.read.text(str(tmp_path / "out")).collect())[:2] == ["0\t0", "1\t1"]
+    m = put(tmp_path / "m", ['m = map[format="k INTEGER, v INTEGER"]; e = emit[key="k"]; m -> e;'])
+    r = put(tmp_path / "r", ['r = reduce[]; g = sort_group_by[key="k", output="k, SUM(v) AS v"]; r -> g;'])
+    lines = put(tmp_path / "lines", ["1\t2", "1\t3", "2\t4"])
+    main(["--map", m, "--reduce", r, "--input", lines, "--output", str(tmp_path / "sums"), "--numreduces", "3"], spark)
+    assert sorted(x[0] for x in spark.read.text(str(tmp_path / "sums")).collect()) == ["1\t5", "2\t4"]
+
+
+def test_partitioning(spark):
+    from rivulet.operators import exchange, shape
+
+    a, b = shape.generate(spark, "RECORDCOUNT AS k, 'a' AS s", 20), shape.generate(spark, "RECORDCOUNT AS k, 'b' AS s", 5)
+    parts = exchange.hash_partition(a, 3, ["k"])
+    assert parts.df.rdd.getNumPartitions() == 3 and parts.df.count() == 20
+    both = exchange.concatenated([a, shape.sort(b, ["k DESC"])])
+    assert [tuple(r) for r in shape.filter_rows(both, None, 22).visible().collect()][-2:] == [(4, "b"), (3, "b")]
+    assert exchange.collected([a, b]).df.count() == 25 and exchange.to_all(a).df.count() == 20
