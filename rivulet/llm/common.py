@@ -2,50 +2,19 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-import zipfile
-from pathlib import Path
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from rivulet.session import shared_path, ship
+
 #: The ASCII white space that parts words: space, \t, \n, \v, \f, \r.
 SPACES = " \t\n\x0b\x0c\r"
 
 
-def ship(spark: SparkSession) -> SparkSession:
-    """Sends this package's sources to the executors, once for each context, so that it need not be installed there."""
-    sc = spark.sparkContext
-    if not getattr(sc, "_rivulet_sent", False):
-        root = Path(__file__).resolve().parents[1]
-        target = Path(tempfile.mkdtemp(prefix="rivulet-")) / "rivulet-sources.zip"
-        with zipfile.ZipFile(target, "w") as z:
-            for f in sorted(root.rglob("*.py")):
-                z.write(f, f.relative_to(root.parent))
-        sc.addPyFile(str(target))
-        sc._rivulet_sent = True
-    return spark
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, set only where it is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not base:
-        base = tempfile.mkdtemp(prefix="rivulet-shared-")
-        spark.sparkContext.setCheckpointDir(base)
-    return base.rstrip("/")
-
-
-def shared_path(spark: SparkSession, name: str) -> str:
-    """A fresh path in the shared folder; nothing is overwritten, so a retried job never mixes with an old one."""
-    return f"{shared_dir(spark)}/rivulet/{name}-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
+def written(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     """df, cut from its lineage: written as Parquet into the shared folder and read again."""
     path = shared_path(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.option("compression", compression).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -70,3 +39,17 @@ def words(text: Column) -> Column:
 
 def total(array: Column) -> Column:
     return F.aggregate(array, F.lit(0).cast("long"), lambda a, x: a + x)
+
+
+def id_cuts(docs: DataFrame, n: int) -> list[int]:
+    """At most n - 1 ascending doc_ids that part the rows into about equal numbers. Only ids are read."""
+    if n < 2:
+        return []
+    cuts = docs.agg(F.percentile_approx("doc_id", [i / n for i in range(1, n)], 100 * n)).first()[0]
+    return [*dict.fromkeys(cuts or [])]
+
+
+def place_among(cuts: list[int], null_first: bool = True) -> Column:
+    """How many cuts are below doc_id: 0 to len(cuts), in the order of ids."""
+    below = F.size(F.filter(F.array(*map(F.lit, cuts)).cast("array<long>"), lambda c: c < F.col("doc_id")))
+    return F.when(F.col("doc_id").isNull(), 0 if null_first else len(cuts)).otherwise(below).cast("int")

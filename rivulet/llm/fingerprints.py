@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rivulet.llm.common import documents, partitions
+from rivulet.llm.common import documents, id_cuts, partitions, place_among
 
 SAMPLES = 128
 MEMORY = 32768
@@ -117,9 +117,8 @@ def dealt_in_order(docs: DataFrame, n: int) -> DataFrame:
     and the texts are shuffled once. After the last document, the first follows. Null ids are last.
     """
     ids = docs.select("doc_id")
-    cuts = ids.agg(F.percentile_approx("doc_id", [i / n for i in range(n - 1, 0, -1)], 100 * n)).first()[0] if n > 1 else None
-    cuts = [*dict.fromkeys(cuts or [])]
-    bucket = F.when(F.col("doc_id").isNull(), len(cuts)).otherwise(F.size(F.filter(F.array(*map(F.lit, cuts)).cast("array<long>"), lambda c: F.col("doc_id") < c))).cast("int")
+    cuts = id_cuts(ids, n)
+    bucket = F.lit(len(cuts)) - place_among(cuts)
     first = {r[0]: r[1] for r in ids.groupBy(bucket).agg(F.max("doc_id")).collect()}
     full = sorted(first)
     after = {}
