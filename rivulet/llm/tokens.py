@@ -2,19 +2,20 @@
 
 The vocabulary drops white space and never merges across it, so a text's ids are those of its
 words in order, and a word's ids can be remembered. A worker remembers a bounded number of
-words; the memory is emptied when it is full, which costs time and changes nothing.
+words; forgetting some costs time and changes nothing.
 """
 
 from __future__ import annotations
 
 import functools
 import os
+from array import array
 
 import numpy as np
 
 TOKENIZER = "word_bpe_49k.json"
 VOCAB = 49408
-MEMORY = 500_000
+MEMORY = 1_000_000
 
 
 def tokenizer_path(name: str = TOKENIZER) -> str:
@@ -23,47 +24,79 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
     return str(public_tokenizers.path(name))
 
 
+class Memory:
+    """Words and their ids, one after another."""
+
+    def __init__(self) -> None:
+        self.row: dict[bytes, int] = {}
+        self.starts, self.lengths, self.flat = array("q"), array("i"), array("I")
+
+    def add(self, words: list[bytes], ids: list) -> None:
+        row, starts, lengths, flat = self.row, self.starts, self.lengths, self.flat
+        for word, some in zip(words, ids, strict=True):
+            row[word] = len(starts)
+            starts.append(len(flat))
+            lengths.append(len(some))
+            flat.extend(some)
+
+    def ids(self, word: bytes) -> array:
+        k = self.row[word]
+        return self.flat[self.starts[k] : self.starts[k] + self.lengths[k]]
+
+
 class WordEncoder:
-    """Remembers words with A-Z in lower case, as the tokenizer puts them so itself; texts that may hold a special token's string stay as they are."""
+    """Remembers words with A-Z in lower case, as the tokenizer puts them so itself; texts that may hold a special token's string stay as they are.
+
+    When `memory` words are held they become the old ones, and what was old is forgotten; old
+    words that are met again are taken over.
+    """
 
     def __init__(self, path: str, memory: int = MEMORY):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
         self.tokenizer, self.memory = Tokenizer.from_file(path), memory
-        self.row: dict[bytes, int] = {}
-        self._clear()
-
-    def _clear(self) -> None:
-        self.row.clear()
-        self.starts, self.lengths, self.flat, self.used = np.zeros(1024, np.int64), np.zeros(1024, np.int32), np.zeros(4096, np.uint32), 0
-
-    def _add(self, word: bytes, ids: list[int] | np.ndarray) -> None:
-        k = len(self.row)
-        if k >= len(self.starts):
-            self.starts, self.lengths = np.resize(self.starts, 2 * k), np.resize(self.lengths, 2 * k)
-        while self.used + len(ids) > len(self.flat):
-            self.flat = np.resize(self.flat, 2 * len(self.flat))
-        self.starts[k], self.lengths[k], self.row[word] = self.used, len(ids), k
-        self.flat[self.used : self.used + len(ids)] = ids
-        self.used += len(ids)
+        self.held, self.old = Memory(), Memory()
+        vocab = self.tokenizer.get_vocab()
+        suffix = getattr(self.tokenizer.model, "end_of_word_suffix", None)
+        self.ends = np.zeros(max(vocab.values(), default=0) + 1, bool)
+        self.ends[[i for t, i in vocab.items() if suffix and t.endswith(suffix)]] = True
+        # whether a word of a-z is one piece that the model sees as it is
+        probe = ("the", "thstinnt", "zqxjv")
+        self.direct = bool(suffix) and all([t.id for t in self.tokenizer.model.tokenize(w)] == self.tokenizer.encode(w, add_special_tokens=False).ids for w in probe)
 
     def _learn(self, words: list[bytes]) -> None:
         """A comma or full stop after a letter of a-z is always a piece of its own, so such words are their stem's ids and the mark's."""
-        marked = {w for w in words if w[-1:] in (b",", b".") and b"a" <= w[-2:-1] <= b"z"}
-        plain = dict.fromkeys([*(w[:-1] if w in marked else w for w in words), b",", b"."])
-        fresh = [w for w in plain if w not in self.row]
-        for at in range(0, len(fresh), 1024):
-            part = fresh[at : at + 1024]
-            for word, got in zip(part, self.tokenizer.encode_batch([w.decode() for w in part], add_special_tokens=False), strict=True):
-                self._add(word, got.ids)
-        for word in marked:
-            if word not in self.row:
-                self._add(word, np.concatenate([self._ids(word[:-1]), self._ids(word[-1:])]))
-
-    def _ids(self, word: bytes) -> np.ndarray:
-        k = self.row[word]
-        return self.flat[self.starts[k] : self.starts[k] + self.lengths[k]]
+        held, old = self.held, self.old
+        wanted = dict.fromkeys(words)
+        again = [w for w in wanted if w in old.row]
+        held.add(again, [old.ids(w) for w in again])
+        new = [w for w in wanted if w not in held.row] if again else [*wanted]
+        marked = [w for w in new if w[-1] in b",." and b"a" <= w[-2:-1] <= b"z"]
+        plain = dict.fromkeys([*(w[:-1] if w[-1] in b",." and b"a" <= w[-2:-1] <= b"z" else w for w in new), b",", b"."])
+        fresh = [w for w in plain if w not in held.row]
+        simple = [w for w in fresh if w.isalpha() and w.islower()] if self.direct else []
+        tokenize = self.tokenizer.model.tokenize
+        held.add(simple, [[t.id for t in tokenize(w.decode())] for w in simple])
+        rest = [w for w in fresh if w not in held.row] if simple else fresh
+        for at in range(0, len(rest), 512):
+            self._joined(rest[at : at + 512])
+        marked = [w for w in marked if w not in held.row]
+        held.add(marked, [held.ids(w[:-1]) + held.ids(w[-1:]) for w in marked])
+
+    def _joined(self, words: list[bytes]) -> None:
+        """Words of letters are one piece each, so they are encoded as one text, and the ids that end a word part them; others one by one."""
+        texts = [w.decode() for w in words]
+        letters = [t for t in texts if t.isalpha()] if self.direct else []
+        if len(letters) > 1:
+            ids = self.tokenizer.encode_batch_fast([" ".join(letters)], add_special_tokens=False)[0].ids
+            cuts = np.flatnonzero(self.ends[ids]) + 1
+            if len(cuts) == len(letters):
+                starts = [0, *cuts.tolist()]
+                self.held.add([t.encode() for t in letters], [ids[a:b] for a, b in zip(starts[:-1], starts[1:], strict=True)])
+                texts = [t for t in texts if not t.isalpha()]
+        got = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False) if texts else []
+        self.held.add([t.encode() for t in texts], [e.ids for e in got])
 
     def encode(self, text: str | None) -> np.ndarray:
         """The ids of a whole text; null: none."""
@@ -71,16 +104,21 @@ class WordEncoder:
         ws = (raw if b"<|" in raw else raw.lower()).split()
         if not ws:
             return np.zeros(0, np.uint32)
-        if len(self.row) > self.memory:
-            self._clear()
-        rows = [*map(self.row.get, ws)]
+        if len(self.held.row) > self.memory:
+            self.held, self.old = Memory(), self.held
+        rows = [*map(self.held.row.get, ws)]
         if None in rows:
-            self._learn([w for w, k in zip(ws, rows, strict=True) if k is None])
-            rows = [*map(self.row.__getitem__, ws)]
+            places = [i for i, k in enumerate(rows) if k is None]
+            self._learn([ws[i] for i in places])
+            row = self.held.row
+            for i in places:
+                rows[i] = row[ws[i]]
         at = np.array(rows, np.int64)
-        n = self.lengths[at]
+        n = np.frombuffer(self.held.lengths, np.int32)[at]
         ends = np.cumsum(n, dtype=np.int64)
-        return self.flat[np.repeat(self.starts[at] - ends + n, n) + np.arange(ends[-1])]
+        places = np.repeat(np.frombuffer(self.held.starts, np.int64)[at] - ends + n, n)
+        places += np.arange(ends[-1])
+        return np.frombuffer(self.held.flat, np.uint32)[places]
 
 
 @functools.lru_cache(maxsize=2)
