@@ -35,6 +35,7 @@ VOCAB = GROUPS * MEMBERS
 CLASSES = 64
 WINDOW, WIDTH = 3, 16
 MASKED, ROUNDS = 12, 2
+STEP, RATE = 256, 0.2
 BLOCK = 1 << 14
 HELD_WORDS = 400_000
 OFFSETS = [*range(-WINDOW, 0), *range(1, WINDOW + 1)]
@@ -187,8 +188,8 @@ def train(docs: DataFrame, vocab: dict[bytes, int], rounds: int = ROUNDS) -> Net
                     # one position in MASKED of each text, from a place that differs by text and round
                     mask = (at * 7 + owner * 5 + number * (MASKED // rounds)) % MASKED == 0
                     chosen = at[mask]
-                    for i in range(0, len(chosen), 1024):
-                        own.step(flat, chosen[i : i + 1024], squares, 0.05)
+                    for i in range(0, len(chosen), STEP):
+                        own.step(flat, chosen[i : i + STEP], squares, RATE)
                     n += len(chosen)
             if n:
                 vector = own.vector().astype(np.float64)
