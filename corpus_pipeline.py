@@ -11,7 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rivulet.llm import mixing, neardup, packing, quality, secrets
-from rivulet.llm.common import ship, written
+from rivulet.llm.common import written
+from rivulet.session import ship
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,9 +32,9 @@ def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as their rate towards the target weights says."""
+    """Documents as often as their rate towards the target weights says; the ridge keeps clean ones at 1."""
     ship(spark)
-    return mixing.apply_rates(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return mixing.apply_rates(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), ridge=0.02)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

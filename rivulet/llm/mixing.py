@@ -35,8 +35,9 @@ DOMAINS = ("clean", "low", "toxic")
 #: Shares of the tokens that the mix is to have.
 WEIGHTS = {"clean": 0.95, "low": 0.05, "toxic": 0.0}
 LABELLED = 3000
+SIGNIFICANT, STRONGEST = 6.0, 4
 BUCKETS = 1 << 14
-RIDGE = 0.02
+RIDGE = 0.005
 STEPS, TOLERANCE = 80, 1e-5
 SNAP = 0.15
 MARKS = b"#*$%&|<>!"
@@ -57,41 +58,48 @@ def features(text: str | None) -> tuple[np.ndarray, list[float], int]:
 
 
 class Classifier:
-    """Softmax regression over bucket weights, divided by the square root of a document's distinct buckets, and dense measures."""
+    """Softmax regression on a few measures: for each domain, the sum of the document's STRONGEST log odds of buckets that tell the domain from the rest (beyond SIGNIFICANT standard errors), and the dense measures."""
 
-    def __init__(self, words: np.ndarray, dense: np.ndarray):
-        self.words, self.dense = words, dense
+    def __init__(self, odds: np.ndarray, weights: np.ndarray):
+        self.odds, self.weights = odds, weights
 
     @classmethod
-    def train(cls, rows: list[tuple[int, np.ndarray, list[float]]], steps: int = 150, rate: float = 0.1, decay: float = 1e-4) -> Classifier:
-        """rows: (domain, buckets, dense). Adam on the mean log loss, domains weighted alike up to a square root."""
+    def train(cls, rows: list[tuple[int, np.ndarray, list[float]]], steps: int = 1500, rate: float = 0.05, decay: float = 1e-4) -> Classifier:
+        """rows: (domain, buckets, dense). Adam on the mean log loss."""
         k = len(DOMAINS)
-        words, dense = np.zeros((BUCKETS, k), np.float32), np.zeros((N_DENSE + 1, k), np.float32)
+        odds, weights = np.zeros((BUCKETS, k), np.float32), np.zeros((k + N_DENSE + 1, k))
         if not rows:
-            return cls(words, dense)
-        y = np.array([r[0] for r in rows])
-        size = np.array([max(len(r[1]), 1) for r in rows])
-        flat = np.concatenate([r[1] if len(r[1]) else np.zeros(1, np.int64) for r in rows])
-        doc = np.repeat(np.arange(len(rows)), size)
-        starts = np.cumsum(size) - size
-        scale = (5 / np.sqrt(size))[:, None].astype(np.float32)
-        x = np.hstack([np.array([r[2] for r in rows], np.float32), np.ones((len(rows), 1), np.float32)])
-        true = np.eye(k, dtype=np.float32)[y]
-        m, v = [np.zeros_like(words), np.zeros_like(dense)], [np.zeros_like(words), np.zeros_like(dense)]
+            return cls(odds, weights)
+        y, size = np.array([r[0] for r in rows]), np.array([len(r[1]) for r in rows])
+        flat = np.concatenate([r[1] for r in rows])
+        with_ = np.bincount(np.repeat(y, size) * BUCKETS + flat, minlength=k * BUCKETS).reshape(k, BUCKETS).astype(float)
+        n = np.bincount(y, minlength=k).astype(float)
+        for d in range(k):
+            if 0 < n[d] < n.sum():
+                a, b = with_[d], with_.sum(axis=0) - with_[d]
+                p, q, both = a / n[d], b / (n.sum() - n[d]), (a + b) / n.sum()
+                error = np.sqrt(both * (1 - both) * (1 / n[d] + 1 / (n.sum() - n[d]))) + 1e-12
+                ratio = np.log((a + 0.5) / (n[d] + 1)) - np.log((b + 0.5) / (n.sum() - n[d] + 1))
+                odds[:, d] = np.where(np.abs(p - q) > SIGNIFICANT * error, ratio, 0)
+        x = np.array([cls.measures(odds, r[1], r[2]) for r in rows])
+        true = np.eye(k)[y]
+        m, v = np.zeros_like(weights), np.zeros_like(weights)
         for step in range(1, steps + 1):
-            z = np.add.reduceat(words[flat], starts, axis=0) * scale + x @ dense
+            z = x @ weights
             z = np.exp(z - z.max(axis=1, keepdims=True))
-            err = (z / z.sum(axis=1, keepdims=True) - true) / len(rows)
-            scaled = (err * scale)[doc]
-            grads = [np.stack([np.bincount(flat, scaled[:, j], BUCKETS) for j in range(k)], 1).astype(np.float32) + decay * words, x.T @ err]
-            for i, (w, g) in enumerate(zip((words, dense), grads, strict=True)):
-                m[i] = 0.9 * m[i] + 0.1 * g
-                v[i] = 0.99 * v[i] + 0.01 * g * g
-                w -= rate * (m[i] / (1 - 0.9**step)) / (np.sqrt(v[i] / (1 - 0.99**step)) + 1e-8)
-        return cls(words, dense)
+            g = x.T @ (z / z.sum(axis=1, keepdims=True) - true) / len(rows) + decay * weights
+            m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
+            weights -= rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
+        return cls(odds, weights)
+
+    @staticmethod
+    def measures(odds: np.ndarray, buckets: np.ndarray, dense: list[float]) -> np.ndarray:
+        own = odds[buckets]
+        top = np.partition(own, len(own) - STRONGEST, axis=0)[-STRONGEST:] if len(own) > STRONGEST else own
+        return np.concatenate([top.sum(axis=0, dtype=np.float64) / STRONGEST, dense, [1.0]])
 
     def posteriors(self, buckets: np.ndarray, dense: list[float]) -> np.ndarray:
-        z = self.words[buckets].sum(axis=0) * (5 / np.sqrt(max(len(buckets), 1))) + np.array([*dense, 1.0]) @ self.dense
+        z = self.measures(self.odds, buckets, dense) @ self.weights
         z = np.exp(z - z.max())
         return z / z.sum()
 
@@ -192,17 +200,20 @@ def mix(docs: DataFrame, labels: DataFrame, weights: dict[str, float] | None = N
     return rated(members, solve(members, weights or WEIGHTS, budget))
 
 
-def apply_rates(docs: DataFrame, labels: DataFrame, weights: dict[str, float] | None = None) -> DataFrame:
-    """docs' own rows, each as often as `copies` says. Texts go through the classifier where they lie and are not shuffled."""
+def apply_rates(docs: DataFrame, labels: DataFrame, weights: dict[str, float] | None = None, ridge: float = RIDGE) -> DataFrame:
+    """docs' own rows, each as often as `copies` says. Texts go through the classifier where they lie and are not shuffled.
+
+    A larger ridge keeps rates nearer to 1 and the mix farther from the weights.
+    """
     model = train(docs, labels)
-    history = solve(written(memberships(docs, model).drop("doc_id"), "members"), weights or WEIGHTS)
+    history = solve(written(memberships(docs, model).drop("doc_id"), "members"), weights or WEIGHTS, ridge=ridge)
     at, kinds = docs.columns.index("text"), docs.schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             got = [features(x.as_py()) for x in batch.column(at)]
             p = np.array([model.posteriors(g[0], g[1]) for g in got]).reshape(-1, len(DOMAINS))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(replayed(p, history)[0])], names=[*batch.schema.names, "mixing rate"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(replayed(p, history, ridge)[0])], names=[*batch.schema.names, "mixing rate"])
 
     from pyspark.sql import types as T
 
