@@ -16,6 +16,7 @@ import numpy as np
 TOKENIZER = "word_bpe_49k.json"
 VOCAB = 49408
 MEMORY = 1_000_000
+MARKS = b",."
 
 
 def tokenizer_path(name: str = TOKENIZER) -> str:
@@ -62,66 +63,92 @@ class WordEncoder:
         self.ends = np.zeros(max(vocab.values(), default=0) + 1, bool)
         self.ends[[i for t, i in vocab.items() if suffix and t.endswith(suffix)]] = True
         # whether a word of a-z is one piece that the model sees as it is
+        self.marks = {c: self.tokenizer.encode(chr(c), add_special_tokens=False).ids for c in MARKS}
         probe = ("the", "thstinnt", "zqxjv")
         self.direct = bool(suffix) and all([t.id for t in self.tokenizer.model.tokenize(w)] == self.tokenizer.encode(w, add_special_tokens=False).ids for w in probe)
 
     def _learn(self, words: list[bytes]) -> None:
         """A comma or full stop after a letter of a-z is always a piece of its own, so such words are their stem's ids and the mark's."""
         held, old = self.held, self.old
-        wanted = dict.fromkeys(words)
-        again = [w for w in wanted if w in old.row]
-        held.add(again, [old.ids(w) for w in again])
-        new = [w for w in wanted if w not in held.row] if again else [*wanted]
-        marked = [w for w in new if w[-1] in b",." and b"a" <= w[-2:-1] <= b"z"]
-        plain = dict.fromkeys([*(w[:-1] if w[-1] in b",." and b"a" <= w[-2:-1] <= b"z" else w for w in new), b",", b"."])
-        fresh = [w for w in plain if w not in held.row]
-        simple = [w for w in fresh if w.isalpha() and w.islower()] if self.direct else []
-        tokenize = self.tokenizer.model.tokenize
-        held.add(simple, [[t.id for t in tokenize(w.decode())] for w in simple])
-        rest = [w for w in fresh if w not in held.row] if simple else fresh
+        row, starts, lengths, flat = held.row, held.starts, held.lengths, held.flat
+        tokenize, direct = self.tokenizer.model.tokenize, self.direct
+        rest: list[tuple[bytes, bytes, list[int]]] = []
+        for word in dict.fromkeys(words):
+            if word in old.row:
+                ids = old.ids(word)
+            else:
+                stem, tail = word, []
+                if direct and word[-1] in MARKS and len(word) > 1 and 97 <= word[-2] <= 122:
+                    stem, tail = word[:-1], self.marks[word[-1]]
+                if stem in row:
+                    ids = held.ids(stem).tolist() + tail
+                elif direct and stem.isalpha() and stem.islower():
+                    ids = [t.id for t in tokenize(stem.decode())] + tail
+                else:
+                    rest.append((word, stem, tail))
+                    continue
+            row[word] = len(starts)
+            starts.append(len(flat))
+            lengths.append(len(ids))
+            flat.extend(ids)
         for at in range(0, len(rest), 512):
             self._joined(rest[at : at + 512])
-        marked = [w for w in marked if w not in held.row]
-        held.add(marked, [held.ids(w[:-1]) + held.ids(w[-1:]) for w in marked])
 
-    def _joined(self, words: list[bytes]) -> None:
-        """Words of letters are one piece each, so they are encoded as one text, and the ids that end a word part them; others one by one."""
-        texts = [w.decode() for w in words]
-        letters = [t for t in texts if t.isalpha()] if self.direct else []
+    def _joined(self, items: list[tuple[bytes, bytes, list[int]]]) -> None:
+        """Stems of letters are one piece each, so they are encoded as one text, and the ids that end a word part them; others one by one."""
+        texts = [stem.decode() for _, stem, _ in items]
+        letters = [i for i, t in enumerate(texts) if t.isalpha()] if self.direct else []
+        got: dict[int, list[int]] = {}
         if len(letters) > 1:
-            ids = self.tokenizer.encode_batch_fast([" ".join(letters)], add_special_tokens=False)[0].ids
-            cuts = np.flatnonzero(self.ends[ids]) + 1
+            ids = self.tokenizer.encode_batch_fast([" ".join([texts[i] for i in letters])], add_special_tokens=False)[0].ids
+            cuts = (np.flatnonzero(self.ends[ids]) + 1).tolist()
             if len(cuts) == len(letters):
-                starts = [0, *cuts.tolist()]
-                self.held.add([t.encode() for t in letters], [ids[a:b] for a, b in zip(starts[:-1], starts[1:], strict=True)])
-                texts = [t for t in texts if not t.isalpha()]
-        got = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False) if texts else []
-        self.held.add([t.encode() for t in texts], [e.ids for e in got])
+                got = {i: ids[a:b] for i, a, b in zip(letters, [0, *cuts[:-1]], cuts, strict=True)}
+        others = [i for i in range(len(texts)) if i not in got]
+        if others:
+            found = self.tokenizer.encode_batch_fast([texts[i] for i in others], add_special_tokens=False)
+            got |= {i: e.ids for i, e in zip(others, found, strict=True)}
+        self.held.add([word for word, _, _ in items], [got[i] + tail for i, (_, _, tail) in enumerate(items)])
 
     def encode(self, text: str | None) -> np.ndarray:
         """The ids of a whole text; null: none."""
-        raw = (text or "").encode()
-        ws = (raw if b"<|" in raw else raw.lower()).split()
-        if not ws:
-            return np.zeros(0, np.uint32)
+        return self.encode_many([text])[0]
+
+    def encode_many(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of whole texts, one after another, and where each text's end; null: none."""
         if len(self.held.row) > self.memory:
             self.held, self.old = Memory(), self.held
-        rows = [*map(self.held.row.get, ws)]
-        if None in rows:
-            places = [i for i, k in enumerate(rows) if k is None]
-            self._learn([ws[i] for i in places])
-            row = self.held.row
-            for i in places:
-                rows[i] = row[ws[i]]
+        row = self.held.row
+        rows: list[int] = []
+        counts = []
+        for text in texts:
+            raw = (text or "").encode()
+            ws = (raw if b"<|" in raw else raw.lower()).split()
+            own = [*map(row.get, ws)]
+            if None in own:
+                places = [i for i, k in enumerate(own) if k is None]
+                self._learn([ws[i] for i in places])
+                for i in places:
+                    own[i] = row[ws[i]]
+            rows += own  # type: ignore[arg-type]
+            counts.append(len(own))
         at = np.array(rows, np.int64)
-        n = np.frombuffer(self.held.lengths, np.int32)[at]
-        ends = np.cumsum(n, dtype=np.int64)
-        places = np.repeat(np.frombuffer(self.held.starts, np.int64)[at] - ends + n, n)
-        places += np.arange(ends[-1])
-        return np.frombuffer(self.held.flat, np.uint32)[places]
+        n = np.frombuffer(self.held.lengths, np.int32)[at] if len(at) else np.zeros(0, np.int32)
+        ends = np.concatenate(([0], np.cumsum(n, dtype=np.int64)))
+        stops = ends[np.cumsum(counts, dtype=np.int64)]
+        if not len(at):
+            return np.zeros(0, np.uint32), stops
+        places_ = np.repeat(np.frombuffer(self.held.starts, np.int64)[at] - ends[:-1], n)
+        places_ += np.arange(ends[-1])
+        return np.frombuffer(self.held.flat, np.uint32)[places_], stops
 
 
 @functools.lru_cache(maxsize=2)
 def encoder(path: str) -> WordEncoder:
     """One for each worker process and file."""
     return WordEncoder(path)
+
+
+def forget() -> None:
+    """Frees a worker's memory of words, where the tasks to come encode no texts."""
+    encoder.cache_clear()

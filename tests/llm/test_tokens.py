@@ -30,13 +30,15 @@ def test_words_give_the_texts_ids(tokenizer):
 
 def test_codes_round_trip():
     draw = np.random.default_rng(1)
-    for n in (0, 1, 2, 3, 4, 5, 1000):
+    for counts in ([0], [1], [2, 0, 3], [4, 5, 1000, 0, 7]):
         for top in (1 << 7, 1 << 8, 1 << 16, 1 << 24, 1 << 32):
-            x = draw.integers(0, top, n, dtype=np.uint64).astype(np.uint32)
-            control, data = tokenfile.pack(x)
-            assert len(control) == -(-n // 4) and (tokenfile.unpack(control, data, n) == x).all()
-    control, data = tokenfile.pack(np.array([5, 300, 70000, 1 << 30], np.uint32))
-    assert control == bytes([0b11100100]) and len(data) == 1 + 2 + 3 + 4
+            n = np.array(counts)
+            x = draw.integers(0, top, n.sum(), dtype=np.uint64).astype(np.uint32)
+            control, data, control_ends, data_ends = tokenfile.pack(x, n)
+            assert (tokenfile.unpack(control, data, n) == x).all()
+            assert control_ends[-1] == len(control) == sum(-(-k // 4) for k in counts) and data_ends[-1] == len(data)
+    control, data, *_ = tokenfile.pack(np.array([5, 300, 70000, 1 << 30], np.uint32), np.array([4]))
+    assert control.tobytes() == bytes([0b11100100]) and len(data) == 1 + 2 + 3 + 4
 
 
 def test_token_files(spark, tmp_path, tokenizer):
