@@ -41,12 +41,16 @@ def pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, e
         code = encoder(path)
         for batch in batches:
             out: list[list] = [[], [], [], [], []]
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                ids = np.append(code.encode(text.as_py()), np.uint32(end)).astype("<u4")
-                for k, at in enumerate(range(0, len(ids), capacity)):
-                    part = ids[at : at + capacity]
-                    for column, x in zip(out, (doc_id, k, at, len(part), zlib.crc32(part.tobytes())), strict=True):
-                        column.append(x)
+            for first in range(0, batch.num_rows, 256):
+                some = batch.slice(first, 256)
+                flat, ends = code.encode_many(some.column(1).to_pylist())
+                flat = np.insert(flat, ends, end).astype("<u4")
+                ends = ends + np.arange(1, len(ends) + 1)
+                for doc_id, start, stop in zip(some.column(0).to_pylist(), [0, *ends[:-1].tolist()], ends.tolist(), strict=True):
+                    for k, at in enumerate(range(start, stop, capacity)):
+                        part = flat[at : min(at + capacity, stop)]
+                        for column, x in zip(out, (doc_id, k, at - start, len(part), zlib.crc32(part)), strict=True):
+                            column.append(x)
             kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(out, kinds, strict=True)], names=["doc_id", "piece", "start", "length", "ids_crc32"])
 
