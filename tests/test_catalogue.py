@@ -1,7 +1,7 @@
 """Every registered query of the engine against its SQL."""
 
 import pytest
-from conftest import same_rows
+from helpers import same_rows
 
 from rivulet.plans.catalogue import ORACLE_SQL, QUERIES
 
