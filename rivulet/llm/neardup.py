@@ -1,18 +1,21 @@
 """N-gram Jaccard join: documents whose sets of word shingles are alike, and the classes that such links make.
 
-1. Every whole text becomes the sorted set of its shingles' 64-bit hashes. Documents with equal
-   sets are one set from here on, so copies cost nothing.
-2. A set belongs to tiles: one for each of its band keys (three minima of hash functions each)
-   and, within them, its size band (sizes of a link lie in the same or the next band). The
-   number of keys is chosen so that a pair at the threshold shares no tile with a probability of
-   MISS at most; more alike pairs are safer still.
-3. Pairs of a tile are first held against bitmaps: each bit that one set has and the other lacks
-   is at least one element that they don't share, which bounds the overlap from above. Only
-   pairs that the bound lets through have their sorted arrays intersected, which decides.
-4. Links that join nothing new are not looked for: in a few of the bands, each set is first held
-   against one member of its tile; the classes that these links make are known when the second
-   round takes all pairs of all tiles whose two sets are in different classes yet. So a large
-   group of near copies costs a few pairs for each member and not all pairs; classes are the same.
+1. Every whole text becomes the sorted set of its shingles' 64-bit hashes, by array operations
+   over whole batches. Documents with equal sets are one set from here on, so copies cost nothing.
+2. Shingles are ordered by how common they are, rare ones first, then by hash. Two sets that
+   share enough share one of their first ones, whatever the order (n less the overlap that a
+   link needs, plus one); with rare ones first, passages that many documents share don't bring
+   their documents together. The counts that tell the order come from all documents, in a table
+   of 2^20 buckets; their accuracy changes the cost alone.
+3. A set belongs to tiles: one for each of these first shingles and, within them, its size band
+   (sizes of a link lie in the same or the next band). The places of a shared shingle in both
+   orders bound the overlap, and then the sets' bitmaps do: each bit that one set has and the
+   other lacks is at least one element that they don't share. Only pairs that the bounds let
+   through have their sorted arrays intersected, which decides.
+4. Links that join nothing new are not looked for: in the first rounds, sets are held against one
+   member of their tiles; the last takes all pairs of all tiles whose two sets are in different
+   classes still. So a large group of near copies costs a few pairs for each member and
+   not all pairs, and no link between different classes is lost.
 
 Texts without words (null, empty) have no shingles and are linked with nothing. Texts with fewer
 words than a shingle have one, their whole sequence. Rows with equal doc_id share a class; rows
@@ -28,102 +31,251 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from rivulet.llm.common import documents, let, words, written
+from rivulet.llm.common import documents, partitions, small_batches, written
+from rivulet.llm.fingerprints import mix
+from rivulet.session import shared_path
 
-ROWS = 3
-MISS = 1e-12
-FIRST_BANDS = 4
-BITS = 1024
-UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-SIGNATURE = "doc_id long, n int, h1 long, h2 long, keys array<long>, bits array<long>"
+BUCKET_BITS, BLOCK = 20, 1 << 14
+LAST, ROUNDS, LARGE, BEFORE = 4, 1, 32, 256
+FILTER_BITS = 23
+BITS = 2048
+SLICE = 1 << 19
+SIGNATURE = "doc_id long, n int, h1 long, h2 long, first array<long>, ones int, bits array<long>"
 
+_draw = np.random.Generator(np.random.PCG64(20240607))
+#: A random number for each byte, A-Z as a-z; words part at the bytes of SPACE.
+BYTE = _draw.integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+BYTE[65:91] = BYTE[97:123]
+SPACE = np.zeros(256, bool)
+SPACE[[9, 10, 11, 12, 13, 32]] = True
+BASE, INVERSE = np.uint64(0x9E3779B97F4A7C15), np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 
-def shingles(text: Column, k: int) -> Column:
-    """Hashes of the k-word shingles, repeated ones too."""
 
-    def grams(h: Column) -> Column:
-        windows = F.transform(F.sequence(F.lit(0), F.size(h) - k), lambda i: F.xxhash64(*[F.get(h, i + j) for j in range(k)]))
-        short = F.array(F.xxhash64(F.lit(k), h))
-        return F.when(F.size(h) >= k, windows).when(F.size(h) > 0, short).otherwise(F.array().cast("array<long>"))
+def powers(base: np.uint64, n: int) -> np.ndarray:
+    out = np.full(n, base, np.uint64)
+    out[0] = 1
+    return np.multiply.accumulate(out)
 
-    lower = F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER)
-    return let(F.transform(words(lower), lambda w: F.xxhash64(w)), grams)
 
+class Shingler:
+    """Hashes of all k-word shingles of some texts at once.
 
-def n_bands(percent: int) -> int:
-    return math.ceil(math.log(MISS) / math.log(1 - (percent / 100) ** ROWS))
+    A word's hash is the sum of its bytes' numbers times powers of BASE, taken from running sums
+    over all bytes and divided by the power at the word's start; then mixed.
+    """
+
+    def __init__(self, k: int):
+        self.k, self.up, self.down = k, powers(BASE, 1 << 16), powers(INVERSE, 1 << 16)
+
+    def _powers(self, n: int) -> None:
+        if n > len(self.up):
+            size = 1 << (n - 1).bit_length()
+            self.up, self.down = powers(BASE, size), powers(INVERSE, size)
+
+    def __call__(self, data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """data: the texts' bytes, one after another; ends: where each ends. The hashes, and where each text's end."""
+        n = len(data)
+        self._powers(n + 1)
+        space = SPACE[data]
+        # a word starts after a space or at a text's start, and ends before a space or at a text's end
+        starts_here = ~space
+        starts_here[1:] &= space[:-1]
+        ends_here = ~space
+        ends_here[:-1] &= space[1:]
+        inner = ends[:-1][(ends[:-1] > 0) & (ends[:-1] < n)]
+        starts_here[inner] |= ~space[inner]
+        ends_here[inner - 1] |= ~space[inner - 1]
+        start, end = np.flatnonzero(starts_here), np.flatnonzero(ends_here) + 1
+        running = np.zeros(n + 1, np.uint64)
+        np.cumsum(BYTE[data] * self.up[:n], out=running[1:])
+        words = mix((running[end] - running[start]) * self.down[start])
+        last_word = np.searchsorted(start, ends, side="left")
+        n_words = np.diff(last_word, prepend=0)
+        k, m = self.k, len(words)
+        if m >= k:
+            grams = np.zeros(m - k + 1, np.uint64)
+            for j in range(k):
+                grams += mix(words[j : m - k + 1 + j] + BYTE[j]) * BYTE[255 - j]
+            grams = mix(grams)
+        else:
+            grams = np.zeros(0, np.uint64)
+        n_grams = np.where(n_words >= k, n_words - k + 1, (n_words > 0).astype(np.int64))
+        first = last_word - n_words
+        long = n_words >= k
+        out_ends = np.cumsum(n_grams)
+        out = np.zeros(int(out_ends[-1]) if len(out_ends) else 0, np.uint64)
+        counts = n_grams[long]
+        if len(counts):
+            source = np.repeat(first[long] - np.cumsum(counts) + counts, counts) + np.arange(int(counts.sum()))
+            target = np.repeat((out_ends - n_grams)[long] - np.cumsum(counts) + counts, counts) + np.arange(int(counts.sum()))
+            out[target] = grams[source]
+        for i in np.flatnonzero((n_words > 0) & ~long):  # shorter than a shingle: the whole sequence
+            own = words[first[i] : first[i] + n_words[i]]
+            out[out_ends[i] - 1] = mix(np.array([(own * powers(BASE, len(own) + 1)[1:]).sum() + np.uint64(len(own))], np.uint64))[0]
+        return out, out_ends
+
+
+def text_slices(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """A text column in slices of about SLICE bytes (at least a text): first row, bytes, ends of texts. Nulls are empty."""
+    if column.null_count:
+        column = column.fill_null("")
+    offsets = np.frombuffer(column.buffers()[1], np.int64 if pa.types.is_large_string(column.type) else np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
+    data = np.frombuffer(column.buffers()[2] or b"", np.uint8)
+    at = 0
+    while at < len(column):
+        to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + SLICE, side="right")) - 1)
+        yield at, data[offsets[at] : offsets[to]], offsets[at + 1 : to + 1] - offsets[at]
+        at = to
+
+
+def gram_sets(column: pa.Array, shingler: Shingler) -> Iterator[np.ndarray]:
+    """The sorted set of shingle hashes of each text."""
+    for _, data, ends in text_slices(column):
+        grams, stops = shingler(data, ends)
+        for a, b in zip(np.concatenate(([0], stops[:-1])), stops, strict=True):
+            yield np.unique(grams[a:b])
+
+
+def commonness(docs: DataFrame, k: int) -> np.ndarray:
+    """How common the shingles of each bucket of hashes are, 0 to 255: in proportion to the count up to four times the mean, then logarithmic.
+
+    Each task sends counts in blocks, which are summed in the cluster; the driver gets one
+    number for each bucket, however many documents there are.
+    """
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts, shingler, held, n = np.zeros(1 << BUCKET_BITS, np.int64), Shingler(k), [], 0
+
+        def counted() -> None:
+            nonlocal n
+            if held:
+                counts[:] += np.bincount(np.concatenate(held), minlength=1 << BUCKET_BITS)
+            held.clear()
+            n = 0
+
+        for batch in batches:
+            for _, data, ends in text_slices(batch.column(0)):
+                grams, _ = shingler(data, ends)
+                held.append((grams >> np.uint64(64 - BUCKET_BITS)).astype(np.int64))
+                n += len(grams)
+                if n >= 1 << BUCKET_BITS:
+                    counted()
+        counted()
+        blocks = np.minimum(counts, 65535).astype("<u2").reshape(-1, BLOCK)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(blocks)), pa.int32()), pa.array([b.tobytes() for b in blocks], pa.binary())], names=["block", "counts"])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for block, x in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                sums[block] = sums.get(block, 0) + np.frombuffer(x.as_buffer(), "<u2").astype("<u4")
+        yield pa.RecordBatch.from_arrays([pa.array([*sums], pa.int32()), pa.array([b.tobytes() for b in sums.values()], pa.binary())], names=["block", "counts"])
+
+    kind = "block int, counts binary"
+    n = min(partitions(docs.sparkSession), (1 << BUCKET_BITS) // BLOCK)
+    summed = docs.select("text").mapInArrow(count, kind).repartition(n, "block").mapInArrow(add, kind)
+    blocks = {block: np.frombuffer(x, "<u4") for block, x in summed.collect()}
+    usual = max(sum(int(x.sum()) for x in blocks.values()) / (1 << BUCKET_BITS), 1.0)
+    out = np.zeros(((1 << BUCKET_BITS) // BLOCK, BLOCK), np.uint8)
+    for block, x in blocks.items():
+        high = 192 + 4 * np.log2(np.maximum(x / (4 * usual), 1))
+        out[block] = np.where(x < 4 * usual, 48 * x / usual, np.minimum(high, 255))
+    return out.ravel()
 
 
-def lists(column: pa.ListArray) -> Iterator[np.ndarray]:
-    flat, ends = np.asarray(column.values), np.asarray(column.offsets)
-    for a, b in zip(ends[:-1], ends[1:], strict=True):
-        yield flat[a:b]
+def needed(n: int, percent: int) -> int:
+    """The least overlap of a set of n with any that it is linked to."""
+    return -(-percent * n // 100)
 
 
 def signatures(docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """The size, a 128-bit hash, the band keys and the bitmap of each document's set."""
-    bands = n_bands(percent)
+    """The size, a 128-bit hash, the first shingles in order and the bitmap of each document's set."""
+    common = docs.sparkSession.sparkContext.broadcast(commonness(docs, k).tobytes())  # 2^20 bytes
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        draw = np.random.Generator(np.random.PCG64(20240607))
-        a = draw.integers(0, 1 << 63, (bands * ROWS, 1), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-        c = draw.integers(0, 1 << 63, (bands * ROWS, 1), dtype=np.uint64) * np.uint64(2)
+        classes, shingler = np.frombuffer(common.value, np.uint8), Shingler(k)
         names = [x.split()[0] for x in SIGNATURE.split(", ")]
         for batch in batches:
-            sizes, hashes, keys, bits = [], [], [], []
-            for grams in lists(batch.column(1)):
-                s = np.unique(grams.view(np.uint64))
+            sizes, hashes, first, ones, bits = [], [], [], [], []
+            for s in gram_sets(batch.column(1), shingler):
+                n = len(s)
                 h = xxhash.xxh3_128_intdigest(s.tobytes())
-                sizes.append(len(s))
+                sizes.append(n)
                 hashes.append((h >> 64, h & (1 << 64) - 1))
                 marks = np.zeros(BITS, bool)
                 marks[(s >> np.uint64(20)) % np.uint64(BITS)] = True
+                ones.append(int(marks.sum()))
                 bits.append(np.packbits(marks).view(np.int64))
-                if len(s):
-                    least = np.full(bands * ROWS, np.iinfo(np.uint64).max, np.uint64)
-                    for at in range(0, len(s), 16384):
-                        np.minimum(least, (a * s[None, at : at + 16384] + c).min(axis=1), out=least)
-                    rows = least.reshape(bands, ROWS)
-                    keys.append(np.array([xxhash.xxh64_intdigest(r.tobytes(), i) for i, r in enumerate(rows)], np.uint64).view(np.int64))
-                else:
-                    keys.append(np.zeros(0, np.int64))
+                prefix = n - needed(n, percent) + 1 if n else 0
+                rank = classes[(s >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)]
+                order = np.argsort(rank, kind="stable")[:prefix]
+                first.append(s[order].view(np.int64))
             halves = np.array(hashes, np.uint64).reshape(-1, 2).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int32()), pa.array(halves[:, 0]), pa.array(halves[:, 1]), pa.array(keys, pa.list_(pa.int64())), pa.array(bits, pa.list_(pa.int64()))], names=names)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int32()), pa.array(halves[:, 0]), pa.array(halves[:, 1]), pa.array(first, pa.list_(pa.int64())), pa.array(ones, pa.int32()), pa.array(bits, pa.list_(pa.int64()))], names=names)
 
-    return docs.select("doc_id", shingles(F.col("text"), k).alias("grams")).mapInArrow(run, SIGNATURE)
+    return docs.select("doc_id", "text").mapInArrow(run, SIGNATURE)
 
 
-def size_ok(n: Column, m: Column, percent: int) -> Column:
-    return 100 * F.least(n, m) >= percent * F.greatest(n, m)
+def among(rows: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The rows whose v is wanted. A bitmap of 2^FILTER_BITS hashes of the wanted ones drops most others before the shuffle; the join decides."""
+    place = F.pmod(F.xxhash64("v"), F.lit(1 << FILTER_BITS))
+    # Spark's bitmaps count blocks of 2^15 bits, and places, from 1
+    marks = wanted.select((place + 1).alias("p")).groupBy(F.bitmap_bucket_number("p").alias("block")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("bits"))
+    table = np.zeros((1 << (FILTER_BITS - 15), 4096), np.uint8)
+    for block, bits in marks.collect():
+        table[block - 1] = np.frombuffer(bits, np.uint8)
+    held = rows.sparkSession.sparkContext.broadcast(table.tobytes())  # 2^20 bytes
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = np.frombuffer(held.value, np.uint8)
+        for batch in batches:
+            at = np.asarray(batch.column(batch.num_columns - 1))
+            yield batch.filter(pa.array((seen[at >> 3] >> (at & 7) & 1).astype(bool))).select([*range(batch.num_columns - 1)])
 
-def bitmap_ok(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose bitmaps allow the overlap that a link of their sizes needs."""
-    side = lambda v: sets.select(F.col("v").alias(v), F.col("n").alias(f"n_{v}"), F.col("bits").alias(f"bits_{v}"))
-    both = pairs.join(side("a"), "a").join(side("b"), "b")
-    lacks = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: F.bit_count(p.bitwiseAND(F.bitwise_not(q)))), F.lit(0), lambda s, z: s + z)
-    most = F.least(F.col("n_a") - lacks(F.col("bits_a"), F.col("bits_b")), F.col("n_b") - lacks(F.col("bits_b"), F.col("bits_a")))
-    return both.where(size_ok(F.col("n_a"), F.col("n_b"), percent) & ((100 + percent) * most >= percent * (F.col("n_a") + F.col("n_b")))).select("a", "b")
+    kind = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields)
+    return rows.withColumn("__place", place).mapInArrow(run, kind).join(wanted, "v", "left_semi")
 
 
-def linked(pairs: DataFrame, arrays: DataFrame, percent: int) -> DataFrame:
-    """The pairs whose sorted arrays intersect in enough elements."""
-    both = pairs.join(arrays.select(F.col("v").alias("a"), F.col("grams").alias("x")), "a").join(arrays.select(F.col("v").alias("b"), F.col("grams").alias("y")), "b")
+def gram_arrays(texts: DataFrame, k: int) -> DataFrame:
+    """v and the sorted array of its shingle hashes; texts without any are left out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingler = Shingler(k)
         for batch in batches:
-            good = []
-            for x, y in zip(lists(batch.column(2)), lists(batch.column(3)), strict=True):
-                if len(x) > len(y):
-                    x, y = y, x
-                common = int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum())
-                good.append(100 * common >= percent * (len(x) + len(y) - common))
-            yield batch.select([0, 1]).filter(pa.array(good, pa.bool_()))
+            sets = [s.view(np.int64) for s in gram_sets(batch.column(1), shingler)]
+            out = pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["v", "grams"])
+            yield out.filter(pa.array([len(s) > 0 for s in sets], pa.bool_()))
+
+    return texts.select("v", "text").mapInArrow(run, "v long, grams array<long>")
+
+
+def size_ok(n: Column, m: Column, percent: int) -> Column:
+    return 100 * F.least(n, m) >= percent * F.greatest(n, m)
+
 
-    return both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+def bits_ok(x: str, y: str, percent: int) -> Column:
+    """Whether two sides' bitmaps, of columns n, ones and bits, allow the overlap that a link of their sizes needs."""
+    n, m = F.col(f"{x}.n"), F.col(f"{y}.n")
+    common = sum((F.bit_count(F.get(f"{x}.bits", F.lit(i)).bitwiseAND(F.get(f"{y}.bits", F.lit(i)))) for i in range(BITS // 64)), F.lit(0))
+    most = common + F.least(n - F.col(f"{x}.ones"), m - F.col(f"{y}.ones"))
+    return size_ok(n, m, percent) & ((100 + percent) * most >= percent * (n + m))
+
+
+def bitmap_ok(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose bitmaps allow a link."""
+    both = pairs.join(sets.alias("x"), F.col("a") == F.col("x.v")).join(sets.alias("y"), F.col("b") == F.col("y.v"))
+    return both.where(bits_ok("x", "y", percent)).select("a", "b")
+
+
+def linked(pairs: DataFrame, arrays: DataFrame, percent: int) -> DataFrame:
+    """The pairs whose arrays intersect in enough elements: row by row in the JVM, as a batch of pairs of long arrays has no bound in bytes."""
+    side = lambda v, x: arrays.select(F.col("v").alias(v), F.col("grams").alias(x))
+    both = pairs.join(side("a", "x"), "a").join(side("b", "y"), "b")
+    common = F.size(F.array_intersect("x", "y"))
+    return both.where(100 * common >= percent * (F.size("x") + F.size("y") - common)).select("a", "b")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -132,58 +284,103 @@ def components(edges: DataFrame) -> DataFrame:
     Each step is two aggregations and joins; edges are written after each round, and nothing
     but a count and a checksum reaches the driver.
     """
-    edges = written(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
-    seen = None
+    spark = edges.sparkSession
+
+    def stored(df: DataFrame) -> tuple[DataFrame, dict]:
+        seen = Observation()
+        path = shared_path(spark, "edges")
+        state = F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("state")
+        df.observe(seen, F.count(F.lit(1)).alias("n"), state).write.parquet(path)
+        return spark.read.schema("u long, v long").parquet(path), seen.get
+
+    edges, before = stored(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
     while True:
-        state = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if state == seen:
-            return edges.select(F.col("u").alias("v"), F.col("v").alias("component")).unionByName(edges.select("v", F.col("v").alias("component")).distinct())
-        seen = state
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         moved = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        edges = written(moved.unionByName(low.select("u", F.col("m").alias("v"))).distinct(), "edges")
+        edges, after = stored(moved.unionByName(low.select("u", F.col("m").alias("v"))).distinct())
+        if after == before:
+            return edges.select(F.col("u").alias("v"), F.col("v").alias("component")).unionByName(edges.select("v", F.col("v").alias("component")).distinct())
+        before = after
+
+
+def placed(tiles: DataFrame, known: DataFrame | None) -> DataFrame:
+    """tiles with the class c that each set is in so far, without the tiles of one class alone."""
+    own = tiles.withColumn("c", F.col("v")) if known is None else tiles.join(known, "v", "left").withColumn("c", F.coalesce("component", "v")).drop("component")
+    mixed = own.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("key")
+    return own.join(mixed, "key", "left_semi")
+
+
+def star(tiles: DataFrame, seed: int) -> DataFrame:
+    """Pairs of each set and the member of its tile that a hash picks, where their classes differ."""
+    picked = tiles.groupBy("key").agg(F.min(F.struct(F.xxhash64("key", "v", F.lit(seed)).alias("by"), F.col("v").alias("centre"), F.col("c").alias("its"))).alias("p"))
+    return tiles.join(picked, "key").where(F.col("c") != F.col("p.its")).select(F.col("v").alias("a"), F.col("p.centre").alias("b"))
+
+
+def pairs_apart(tiles: DataFrame, bitmaps: DataFrame, firsts: DataFrame, percent: int) -> DataFrame:
+    """All pairs of all tiles whose classes differ and whose sizes and places in the order allow a link.
+
+    In tiles of more than LARGE members, which could make very many pairs, the members carry
+    their bitmaps, so that a pair is held against them where it arises, and their shingles before
+    the tile's (if they are not more than BEFORE), so that it arises at the first that they share.
+    """
+    band = F.floor(F.log("n") / (1.0001 * math.log(100 / percent))).cast("int")
+
+    def within(rows: DataFrame, full: bool) -> DataFrame:
+        x = rows.withColumn("size_band", band).alias("x")
+        y = rows.withColumn("size_band", F.explode(F.array(band - 1, band, band + 1))).alias("y")
+        n, m = F.col("x.n"), F.col("y.n")
+        rest = 1 + F.least(n - F.col("x.pos") - 1, m - F.col("y.pos") - 1)
+        same = (F.col("x.key") == F.col("y.key")) & (F.col("x.size_band") == F.col("y.size_band"))
+        ok = size_ok(n, m, percent) & ((100 + percent) * rest >= percent * (n + m))
+        if full:
+            ok = ok & bits_ok("x", "y", percent) & ~F.coalesce(F.arrays_overlap("x.before", "y.before"), F.lit(False))
+        return x.join(y, same & (F.col("x.c") < F.col("y.c")) & ok).select(F.col("x.v").alias("a"), F.col("y.v").alias("b"))
+
+    large = tiles.groupBy("key").agg(F.count("*").alias("members")).where(F.col("members") > LARGE).select("key")
+    few = within(tiles.join(large, "key", "left_anti"), False)
+    before = F.when(F.col("pos") <= BEFORE, F.slice("first", 1, F.col("pos")))
+    many = within(tiles.join(large, "key", "left_semi").join(bitmaps.drop("n"), "v").join(firsts, "v").withColumn("before", before).drop("first"), True)
+    return few.unionByName(many)
 
 
 def classes(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles and component_id, the smallest doc_id that links of `percent` or more lead to."""
-    spark = docs.sparkSession
+    with small_batches(docs.sparkSession):
+        return _classes(docs, k, percent)
+
+
+def _classes(docs: DataFrame, k: int, percent: int) -> DataFrame:
     signed = written(signatures(docs, k, percent), "signatures")
-    rep = F.min("doc_id").alias("v")
-    sets = signed.where("n > 0 and doc_id is not null").groupBy("h1", "h2").agg(rep, F.first("n").alias("n"), F.first("keys").alias("keys"), F.first("bits").alias("bits"))
-    sets = written(sets, "sets")
+    wide = signed.where("n > 0 and doc_id is not null")
+    sets = written(wide.groupBy("h1", "h2").agg(F.min("doc_id").alias("v"), F.first("n").alias("n"), F.first("first").alias("first")), "sets")
 
-    rows = sets.select("v", "n", F.posexplode("keys").alias("band", "key"))
-    tiles = rows.groupBy("key").agg(F.count("*").alias("size"), F.min(F.struct(F.xxhash64("key", "v").alias("by"), F.col("v").alias("v"))).alias("first"))
-    shared = written(rows.join(tiles.where("size > 1"), "key").select("key", "band", "v", "n", F.col("first.v").alias("centre")), "tiles")
+    rows = sets.select("v", "n", F.posexplode("first").alias("pos", "key"))
+    busy = rows.groupBy("key").agg(F.count("*").alias("members")).where("members > 1").select("key")
+    tiles = written(rows.join(busy, "key", "left_semi").select("key", "pos", "v", "n"), "tiles")
 
-    wanted = shared.select("v").distinct()
-    texts = docs.select(F.col("doc_id").alias("v"), "text").join(wanted, "v", "left_semi")
-    arrays = written(texts.select("v", F.array_sort(F.array_distinct(shingles(F.col("text"), k))).alias("grams")).where(F.size("grams") > 0), "arrays")
-    small = sets.select("v", "n", "bits").join(wanted, "v", "left_semi")
-    small = written(small, "bitmaps")
+    texts = docs.select(F.col("doc_id").alias("v"), "text").where("v is not null")
+    small = written(wide.select(F.col("doc_id").alias("v"), "n", "ones", "bits").join(tiles.select("v").distinct(), "v", "left_semi"), "bitmaps")
 
     def links(pairs: DataFrame) -> DataFrame:
         ordered = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        return linked(bitmap_ok(ordered, small, percent), arrays, percent)
-
-    star = shared.where((F.col("band") < FIRST_BANDS) & (F.col("v") != F.col("centre"))).select(F.col("v").alias("a"), F.col("centre").alias("b"))
-    first = written(links(star), "links")
-    known = components(first)
-
-    placed = shared.select("key", "v", "n").join(known, "v", "left").select("key", "v", "n", F.coalesce("component", "v").alias("c"))
-    mixed = placed.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("key")
-    band = F.floor(F.log("n") / (1.0001 * math.log(100 / percent))).cast("int")
-    left = written(placed.join(mixed, "key", "left_semi").withColumn("size_band", band), "open")
-    visiting = left.withColumn("size_band", F.explode(F.array(F.col("size_band") - 1, F.col("size_band"), F.col("size_band") + 1)))
-    x, y = left.alias("x"), visiting.alias("y")
-    apart = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.size_band") == F.col("y.size_band")) & (F.col("x.c") < F.col("y.c")) & size_ok(F.col("x.n"), F.col("y.n"), percent))
-    second = links(apart.select(F.col("x.v").alias("a"), F.col("y.v").alias("b")))
-    found = components(first.unionByName(second))
-
-    by_set = sets.select("h1", "h2", "v").join(found, "v", "left").select("h1", "h2", F.coalesce("component", "v").alias("c"))
+        likely = written(bitmap_ok(ordered, small, percent), "likely")
+        wanted = written(likely.select(F.col("a").alias("v")).union(likely.select("b")).distinct(), "wanted")
+        return written(linked(likely, written(gram_arrays(among(texts, wanted), k), "arrays"), percent), "links")
+
+    # the last of a set's first shingles are its commonest, which near copies of it have too
+    last = F.col("pos") > F.col("n") - F.ceil(F.col("n") * percent / 100) - LAST
+    open_ = placed(tiles, None)
+    found = links(star(open_.where(last), 0))
+    for number in range(1, ROUNDS):
+        open_ = written(placed(open_.select(*tiles.columns), components(found)), "open")
+        found = found.unionByName(links(star(open_, number)))
+    open_ = written(placed(open_.select(*tiles.columns), components(found)), "open")
+    final = components(found.unionByName(links(pairs_apart(open_, small, sets.select("v", "first"), percent))))
+
+    by_set = sets.select("h1", "h2", "v").join(final, "v", "left").select("h1", "h2", F.coalesce("component", "v").alias("c"))
     own = F.when(F.col("doc_id").isNull(), None).otherwise(F.coalesce("c", "doc_id"))
     return signed.select("doc_id", "n", "h1", "h2").join(by_set, ["h1", "h2"], "left").select("doc_id", F.col("n").cast("long").alias("n_shingles"), own.alias("component_id"))
 
