@@ -36,6 +36,7 @@ from pyspark.sql import functions as F
 
 from rivulet.llm.common import documents, partitions, small_batches, written
 from rivulet.llm.fingerprints import mix
+from rivulet.llm.tokens import forget
 from rivulet.session import shared_path
 
 BUCKET_BITS, BLOCK = 20, 1 << 14
@@ -147,6 +148,7 @@ def commonness(docs: DataFrame, k: int) -> np.ndarray:
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()  # what an earlier stage's tokens left in this worker
         counts, shingler, held, n = np.zeros(1 << BUCKET_BITS, np.int64), Shingler(k), [], 0
 
         def counted() -> None:
