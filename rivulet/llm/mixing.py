@@ -6,7 +6,11 @@ domains. Each document d of t_d tokens (words) and posteriors p_d then gets a ra
 that the expected totals, sum of x_d t_d p_d, match the targets by least squares, rates staying
 near 1 otherwise:
 
-    1/2 |sum x_d t_d p_d / M - target / M|^2 + RIDGE / 2 sum (t_d / M) (x_d - 1)^2.
+    1/2 sum over domains (sum x_d t_d p_d - target)^2 / (M size) + 1/2 sum (t_d / M) (p_d ridge) (x_d - 1)^2.
+
+A domain's size is its tokens at rate 1, or its target where that is more, so that a domain
+counts by its relative error, however rare it is. The ridge of a domain is RIDGE, but 0 for
+one whose target is 0, so that nothing holds its sure members back from rate 0.
 
 Projected gradient steps with momentum, in the inner product weighted by t_d / M, need only the
 residual, a number for each domain, which each step sums over all documents; the rates are
@@ -26,7 +30,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rivulet.llm.common import documents, written
@@ -39,7 +43,6 @@ SIGNIFICANT, STRONGEST = 6.0, 4
 BUCKETS = 1 << 14
 RIDGE = 0.005
 STEPS, TOLERANCE = 80, 1e-5
-SNAP = 0.15
 MARKS = b"#*$%&|<>!"
 N_DENSE = 5
 
@@ -132,12 +135,13 @@ def memberships(docs: DataFrame, model: Classifier) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, " + ", ".join(f"{d} double" for d in DOMAINS))
 
 
-def replayed(p: np.ndarray, history: list[np.ndarray], ridge: float = RIDGE) -> tuple[np.ndarray, np.ndarray]:
-    """The rates and the points where the next gradient is taken, after the steps whose residuals are given."""
+def replayed(p: np.ndarray, history: list[np.ndarray], ridge: float | np.ndarray = RIDGE) -> tuple[np.ndarray, np.ndarray]:
+    """The rates and the points where the next gradient is taken, after the steps whose residuals are given. ridge: one for all domains, or each one's."""
     x = y = np.ones(len(p))
-    t, eta = 1.0, 1 / (1 + ridge)
+    t, eta = 1.0, 1 / (1 + np.max(ridge))
+    pull = p @ np.broadcast_to(ridge, len(DOMAINS))
     for residual in history:
-        new = np.maximum(0.0, y - eta * (p @ residual + ridge * (y - 1)))
+        new = np.maximum(0.0, y - eta * (p @ residual + pull * (y - 1)))
         following = (1 + np.sqrt(1 + 4 * t * t)) / 2
         y = new + (t - 1) / following * (new - x)
         x, t = new, following
@@ -149,8 +153,13 @@ def columns(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
     return get("n_tokens"), np.stack([get(d) for d in DOMAINS], 1)
 
 
-def solve(members: DataFrame, weights: dict[str, float], budget: str | None = "clean", ridge: float = RIDGE) -> list[np.ndarray]:
-    """The residuals of all steps. budget: the domain whose tokens at rate 1 set the size of the mix; None: all tokens as they are."""
+def ridges(weights: dict[str, float], ridge: float) -> np.ndarray:
+    """The ridge of each domain: none where the target is 0."""
+    return np.array([ridge if weights.get(d, 0.0) else 0.0 for d in DOMAINS])
+
+
+def solve(members: DataFrame, weights: dict[str, float], budget: str | None = "clean", ridge: float | np.ndarray = RIDGE, relative: bool = False) -> list[np.ndarray]:
+    """The residuals of all steps. budget: the domain whose tokens at rate 1 set the size of the mix; None: all tokens as they are. relative: residuals by each domain's size, else by the size of all."""
     share = np.array([weights.get(d, 0.0) for d in DOMAINS])
     share = share / share.sum()
     kind = ", ".join(f"{d} double" for d in DOMAINS)
@@ -172,16 +181,23 @@ def solve(members: DataFrame, weights: dict[str, float], budget: str | None = "c
         return []
     at = DOMAINS.index(budget) if budget else None
     target = share * (m if at is None or not share[at] else own[at] / share[at])
-    history = [(own - target) / m]
+    size = np.maximum(np.maximum(own, target), np.finfo(float).tiny) if relative else m
+    history = [(own - target) / size]
     while len(history) < STEPS:
-        history.append((totals(history) - target) / m)
+        history.append((totals(history) - target) / size)
         if np.abs(history[-1] - history[-2]).max() < TOLERANCE:
             break
     return history
 
 
-def rated(members: DataFrame, history: list[np.ndarray], ridge: float = RIDGE) -> DataFrame:
-    """members with `rate` and `copies`: the rate, rounded where it is within SNAP of a whole number, else up or down by a hash of the document's place, whole in the mean."""
+def copies(rate: Column) -> Column:
+    """The rate, rounded up or down by a hash of doc_id, whole in the mean."""
+    unit = (F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(1 << 30)) + 0.5) / (1 << 30)
+    return F.floor(rate + unit)
+
+
+def rated(members: DataFrame, history: list[np.ndarray], ridge: float | np.ndarray = RIDGE) -> DataFrame:
+    """members with `rate` and `copies`."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -189,15 +205,15 @@ def rated(members: DataFrame, history: list[np.ndarray], ridge: float = RIDGE) -
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(x)], names=[*batch.schema.names, "rate"])
 
     kind = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in members.schema.fields)
-    unit = (F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(1 << 30)) + 0.5) / (1 << 30)
-    near = F.abs(F.col("rate") - F.rint("rate")) <= SNAP
-    return members.mapInArrow(run, f"{kind}, rate double").withColumn("copies", F.when(near, F.rint("rate")).otherwise(F.floor(F.col("rate") + unit)).cast("long"))
+    return members.mapInArrow(run, f"{kind}, rate double").withColumn("copies", copies(F.col("rate")).cast("long"))
 
 
 def mix(docs: DataFrame, labels: DataFrame, weights: dict[str, float] | None = None, budget: str | None = "clean") -> DataFrame:
     """doc_id, n_tokens, posteriors, rate and copies of every document."""
     members = written(memberships(docs, train(docs, labels)), "members")
-    return rated(members, solve(members, weights or WEIGHTS, budget))
+    wanted = weights or WEIGHTS
+    ridge = ridges(wanted, RIDGE)
+    return rated(members, solve(members, wanted, budget, ridge, True), ridge)
 
 
 def apply_rates(docs: DataFrame, labels: DataFrame, weights: dict[str, float] | None = None, ridge: float = RIDGE) -> DataFrame:
@@ -206,22 +222,22 @@ def apply_rates(docs: DataFrame, labels: DataFrame, weights: dict[str, float] |
     A larger ridge keeps rates nearer to 1 and the mix farther from the weights.
     """
     model = train(docs, labels)
-    history = solve(written(memberships(docs, model).drop("doc_id"), "members"), weights or WEIGHTS, ridge=ridge)
+    wanted = weights or WEIGHTS
+    held = ridges(wanted, ridge)
+    history = solve(written(memberships(docs, model).drop("doc_id"), "members"), wanted, ridge=held, relative=True)
     at, kinds = docs.columns.index("text"), docs.schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             got = [features(x.as_py()) for x in batch.column(at)]
             p = np.array([model.posteriors(g[0], g[1]) for g in got]).reshape(-1, len(DOMAINS))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(replayed(p, history, ridge)[0])], names=[*batch.schema.names, "mixing rate"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(replayed(p, history, held)[0])], names=[*batch.schema.names, "mixing rate"])
 
     from pyspark.sql import types as T
 
     rows = docs.mapInArrow(run, T.StructType([*kinds.fields, T.StructField("mixing rate", T.DoubleType())]))
-    rate = F.col("mixing rate")
-    unit = (F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(1 << 30)) + 0.5) / (1 << 30)
-    copies = F.when(F.abs(rate - F.rint(rate)) <= SNAP, F.rint(rate)).otherwise(F.floor(rate + unit)).cast("int")
-    return rows.withColumn("mixing rate", F.explode(F.array_repeat(F.lit(1.0), copies))).select(*docs.columns)
+    again = copies(F.col("mixing rate")).cast("int")
+    return rows.withColumn("mixing rate", F.explode(F.array_repeat(F.lit(1.0), again))).select(*docs.columns)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,5 +1,6 @@
 import corpus
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from rivulet.llm import mixing
@@ -71,3 +72,27 @@ def test_copies_are_whole_in_the_mean(spark):
     history = [np.full(3, 0.6 * (1 + mixing.RIDGE))]
     r = mixing.rated(members, history).agg(F.avg("rate"), F.avg("copies")).first()
     assert abs(r[0] - 0.4) < 1e-9 and abs(r[1] - 0.4) < 0.02
+
+
+@pytest.mark.parametrize("share", [0.003, 0.01, 0.03])
+def test_rare_toxic_documents_go(spark, share):
+    """Posteriors of 0.97 and 0.99 and a low domain of 10 percent: a target of 0 takes sure members to 0 however rare they are, and leaves clean ones at 1."""
+    n = 20000
+    kind = F.when(F.col("id") < n * share, 2).when(F.col("id") < n * (share + 0.1), 1).otherwise(0)
+    posteriors = {"clean": (0.99, 0.02, 0.02), "low": (0.007, 0.97, 0.01), "toxic": (0.003, 0.01, 0.97)}
+    at = lambda d: F.element_at(F.array(*map(F.lit, posteriors[d])), F.col("kind") + 1).alias(d)
+    members = spark.range(n).withColumn("kind", kind).select(F.col("id").alias("doc_id"), F.lit(100).cast("long").alias("n_tokens"), "kind", *map(at, mixing.DOMAINS))
+    for ridge in (mixing.RIDGE, 0.02):
+        held = mixing.ridges(mixing.WEIGHTS, ridge)
+        got = mixing.rated(members, mixing.solve(members, mixing.WEIGHTS, ridge=held, relative=True), held)
+        mean = {r["kind"]: r for r in got.groupBy("kind").agg(F.avg("rate").alias("rate"), F.avg("copies").alias("copies")).collect()}
+        assert mean[2]["rate"] < 0.01 and mean[2]["copies"] < 0.01
+        assert abs(mean[0]["rate"] - 1) < 0.03 and abs(mean[1]["rate"] - 0.45) < 0.06
+        assert all(abs(mean[k]["rate"] - mean[k]["copies"]) < 0.03 for k in mean)
+
+
+def test_rates_near_whole_numbers_are_whole_in_the_mean(spark):
+    members = spark.range(20000).select(F.col("id").alias("doc_id"), F.lit(1).cast("long").alias("n_tokens"), *[F.lit(1 / 3).alias(d) for d in mixing.DOMAINS])
+    for rate in (0.1, 0.9):
+        r = mixing.rated(members, [np.full(3, (1 - rate) * (1 + mixing.RIDGE))]).agg(F.avg("copies")).first()
+        assert abs(r[0] - rate) < 0.02
