@@ -4,7 +4,9 @@ Every token of a text is predicted from the WINDOW tokens on both sides, and a d
 is the sum of the logarithms of these conditional probabilities.
 
 * Vocabulary: the commonest words by counts over all texts, other words by hash into CLASSES
-  more; words have A-Z in lower case.
+  more; words have A-Z in lower case. A word of a class has the probability of the class times
+  its share of the class' tokens in all texts, so each word of the corpus has its own; these
+  counts are joined to the documents' words and never collected.
 * Network: context embeddings, weighted by place, are summed and go through tanh; the output is
   a softmax in two levels, a group of words and the word within it.
 * Training: in each round, each task starts from the shared weights and trains on its own
@@ -28,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rivulet.llm.common import documents
+from rivulet.llm.common import documents, written
 
 GROUPS, MEMBERS = 32, 32
 VOCAB = GROUPS * MEMBERS
@@ -64,12 +66,20 @@ def word_counts(docs: DataFrame) -> DataFrame:
     return docs.select("text").mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def vocabulary(docs: DataFrame) -> dict[bytes, int]:
-    """Ids by frequency, dealt so that each group has words of like frequency. The driver gets VOCAB - CLASSES rows."""
-    top = word_counts(docs).orderBy(F.desc("n"), "word").limit(VOCAB - CLASSES).collect()
+def vocabulary(docs: DataFrame, counts: DataFrame | None = None) -> dict[bytes, int]:
+    """Ids by frequency, dealt so that each group has words of like frequency. The driver gets VOCAB - CLASSES rows. counts: word_counts(docs), if at hand."""
+    top = (word_counts(docs) if counts is None else counts).orderBy(F.desc("n"), "word").limit(VOCAB - CLASSES).collect()
     return {bytes(r["word"]): i for i, r in enumerate(top)}
 
 
+def within_classes(counts: DataFrame, vocab: dict[bytes, int]) -> DataFrame:
+    """(word, inner): ln of the share that each word without an id of its own has of its class' tokens."""
+    known = counts.sparkSession.createDataFrame([(bytearray(w),) for w in vocab], "word binary")
+    rare = counts.join(F.broadcast(known), "word", "left_anti").withColumn("class", F.crc32("word") % CLASSES)
+    sizes = rare.groupBy("class").agg(F.sum("n").alias("size"))
+    return rare.join(F.broadcast(sizes), "class").select("word", F.log(F.col("n") / F.col("size")).alias("inner"))
+
+
 class Texts:
     """Token ids of texts; positions of a batch lie in one array, with WINDOW of padding around each text."""
 
@@ -205,26 +215,52 @@ def train(docs: DataFrame, vocab: dict[bytes, int], rounds: int = ROUNDS) -> Net
     return net
 
 
-def scores(docs: DataFrame, net: Network, vocab: dict[bytes, int]) -> DataFrame:
-    """doc_id, n_tokens, score (the sum of ln P of all tokens) and its mean."""
+def scores(docs: DataFrame, net: Network, vocab: dict[bytes, int], inner: DataFrame | None = None) -> DataFrame:
+    """doc_id, n_tokens, score (the sum of ln P of all tokens) and its mean. inner: within_classes(); None: words without an id are scored as their classes."""
     vector = net.vector()
 
+    def scored(own: Network, texts: Texts, part: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        flat, at, owner = texts.padded(part.to_pylist())
+        return np.bincount(owner, minlength=len(part)), np.bincount(owner, own.log_probabilities(flat, at), len(part))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, texts = Network.of(vector), Texts(vocab)
         for batch in batches:
             for first in range(0, batch.num_rows, 256):
                 part = batch.slice(first, 256)
-                flat, at, owner = texts.padded(part.column(1).to_pylist())
-                n = np.bincount(owner, minlength=part.num_rows)
-                total = np.bincount(owner, own.log_probabilities(flat, at), part.num_rows)
+                n, total = scored(own, texts, part.column(1))
                 mean = pa.array(total / np.maximum(n, 1), mask=n == 0)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), pa.array(total, pa.float64()), mean], names=["doc_id", "n_tokens", "score", "mean_score"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, score double, mean_score double")
+    def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A row of each text, under a key that no word has, and one of each of its distinct words without an id."""
+        own, texts = Network.of(vector), Texts(vocab)
+        for batch in batches:
+            for first in range(0, batch.num_rows, 64):
+                part = batch.slice(first, 64)
+                n, total = scored(own, texts, part.column(1))
+                rows, ids = part.column(2).to_pylist(), part.column(0)
+                none = pa.nulls(len(rows), pa.int64())
+                yield pa.RecordBatch.from_arrays([part.column(2), ids, pa.array([b" %d" % r for r in rows], pa.binary()), none, pa.array(n, pa.int64()), pa.array(total, pa.float64())], names=names)
+                rare = [Counter(w for w in (t or "").encode().lower().split() if w not in vocab) for t in part.column(1).to_pylist()]
+                found = [w for c in rare for w in c]
+                of, none = np.repeat(np.array(rows, np.int64), [len(c) for c in rare]), pa.nulls(len(found), pa.int64())
+                times = pa.array([x for c in rare for x in c.values()], pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array(of), none, pa.array(found, pa.binary()), times, none, none.cast(pa.float64())], names=names)
+
+    if inner is None:
+        return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, score double, mean_score double")
+    names = ["row", "doc_id", "word", "times", "n_tokens", "score"]
+    rows = docs.select("doc_id", "text", F.monotonically_increasing_id().alias("row"))
+    held = rows.mapInArrow(parts, "row long, doc_id long, word binary, times long, n_tokens long, score double")
+    each = held.join(inner.hint("shuffle_hash"), "word", "left").select("row", "doc_id", "n_tokens", F.coalesce("score", F.col("times") * F.col("inner"), F.lit(0.0)).alias("score"))
+    whole = each.groupBy("row").agg(F.max("doc_id").alias("doc_id"), F.max("n_tokens").alias("n_tokens"), F.sum("score").alias("score"))
+    return whole.select("doc_id", "n_tokens", "score", F.when(F.col("n_tokens") > 0, F.col("score") / F.col("n_tokens")).alias("mean_score"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """op6: the score of every document."""
     docs = documents(spark, sf_dir)
-    vocab = vocabulary(docs)
-    return scores(docs, train(docs, vocab), vocab)
+    counts = written(word_counts(docs), "words")
+    vocab = vocabulary(docs, counts)
+    return scores(docs, train(docs, vocab), vocab, within_classes(counts, vocab))

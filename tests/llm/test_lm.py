@@ -1,4 +1,5 @@
 import random
+import zlib
 
 import corpus
 import numpy as np
@@ -82,3 +83,28 @@ def test_word_counts(spark, monkeypatch):
     monkeypatch.setattr(lm, "HELD_WORDS", 5)
     got = {bytes(r["word"]).decode(): r["n"] for r in lm.word_counts(corpus.documents(spark, [(1, "A b c d e f g"), (2, "a B a"), (3, None)])).collect()}
     assert got == {"a": 3, "b": 2, "c": 1, "d": 1, "e": 1, "f": 1, "g": 1}
+
+
+def test_words_without_ids_have_probabilities_of_their_own(spark, monkeypatch):
+    """Words beyond the vocabulary add ln of their share of their class; rare ones score lower."""
+    monkeypatch.setattr(lm, "VOCAB", lm.CLASSES + 1)
+    docs = corpus.documents(spark, [(0, "the the the the"), (1, "Often often often"), (2, "often hapax gibberish"), (2, "often"), (None, "often hapax"), (4, None), (5, "")])
+    counts = lm.word_counts(docs)
+    vocab = lm.vocabulary(docs, counts.where("word <> CAST('often' AS BINARY)"))
+    assert vocab == {b"the": 0}
+    inner = {bytes(r["word"]).decode(): r["inner"] for r in lm.within_classes(counts, vocab).collect()}
+    n = {"often": 6, "hapax": 2, "gibberish": 1}
+    kind = {w: zlib.crc32(w.encode()) % lm.CLASSES for w in n}
+    size = {w: sum(n[x] for x in n if kind[x] == kind[w]) for w in n}
+    assert inner.keys() == n.keys() and all(abs(inner[w] - np.log(n[w] / size[w])) < 1e-9 for w in n)
+    monkeypatch.undo()
+    net = lm.Network()
+    given = spark.createDataFrame([(bytearray(b"often"), -1.0), (bytearray(b"hapax"), -5.0), (bytearray(b"gibberish"), -7.0)], "word binary, inner double")
+    key = lambda r: (str(r["doc_id"]), r["n_tokens"])
+    plain = {key(r): r for r in lm.scores(docs, net, vocab).collect()}
+    got = {key(r): r for r in lm.scores(docs, net, vocab, given).collect()}
+    added = {("0", 4): 0, ("1", 3): -3, ("2", 3): -13, ("2", 1): -1, ("None", 2): -6, ("4", 0): 0, ("5", 0): 0}
+    assert got.keys() == plain.keys() == added.keys()
+    for k, x in added.items():
+        assert abs(got[k]["score"] - plain[k]["score"] - x) < 1e-6
+        assert got[k]["mean_score"] is None if k[1] == 0 else abs(got[k]["mean_score"] - got[k]["score"] / k[1]) < 1e-9
