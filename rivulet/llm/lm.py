@@ -10,9 +10,10 @@ is the sum of the logarithms of these conditional probabilities.
 * Network: context embeddings, weighted by place, are summed and go through tanh; the output is
   a softmax in two levels, a group of words and the word within it.
 * Training: in each round, each task starts from the shared weights and trains on its own
-  documents, masking one position in MASKED of every text; the tasks' weights are averaged by
-  the number of positions, summed in the cluster. So all documents train it, and what is
-  gathered grows with their number; the model's size is fixed.
+  documents, masking one position in MASKED of every text at a time; each round takes its part
+  of the MASKED offsets, so that all rounds take every position once. The tasks' weights are
+  averaged by the number of positions, summed in the cluster. So all tokens train it, and what
+  is gathered grows with their number; the model's size is fixed.
 
 Null and empty texts have no tokens, score 0 and a null mean. Repeated rows score alike. An
 empty table gives no rows. Other columns are not looked at.
@@ -183,6 +184,13 @@ class Network:
         return cls(weights)
 
 
+def masks(at: np.ndarray, owner: np.ndarray, number: int, rounds: int) -> Iterator[np.ndarray]:
+    """The places that a round trains on, one offset in MASKED after another; those of all rounds are all places, once each."""
+    offset = (at * 7 + owner * 5) % MASKED
+    for k in range(number % MASKED, MASKED, min(rounds, MASKED)):
+        yield at[offset == k]
+
+
 def train(docs: DataFrame, vocab: dict[bytes, int], rounds: int = ROUNDS) -> Network:
     """Rounds of training in all tasks at once, and averaging. The driver gets as many sums as there are weights."""
     net = Network()
@@ -195,12 +203,10 @@ def train(docs: DataFrame, vocab: dict[bytes, int], rounds: int = ROUNDS) -> Net
             for batch in batches:
                 for first in range(0, batch.num_rows, 64):
                     flat, at, owner = texts.padded(batch.column(0).slice(first, 64).to_pylist())
-                    # one position in MASKED of each text, from a place that differs by text and round
-                    mask = (at * 7 + owner * 5 + number * (MASKED // rounds)) % MASKED == 0
-                    chosen = at[mask]
-                    for i in range(0, len(chosen), STEP):
-                        own.step(flat, chosen[i : i + STEP], squares, RATE)
-                    n += len(chosen)
+                    for chosen in masks(at, owner, number, rounds):
+                        for i in range(0, len(chosen), STEP):
+                            own.step(flat, chosen[i : i + STEP], squares, RATE)
+                        n += len(chosen)
             if n:
                 vector = own.vector().astype(np.float64)
                 yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(vector)), pa.int32()), pa.array(vector * n), pa.array(np.full(len(vector), float(n)))], names=["i", "total", "n"])

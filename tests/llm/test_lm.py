@@ -108,3 +108,15 @@ def test_words_without_ids_have_probabilities_of_their_own(spark, monkeypatch):
     for k, x in added.items():
         assert abs(got[k]["score"] - plain[k]["score"] - x) < 1e-6
         assert got[k]["mean_score"] is None if k[1] == 0 else abs(got[k]["mean_score"] - got[k]["score"] / k[1]) < 1e-9
+
+
+def test_every_position_is_a_target_once(spark, monkeypatch):
+    """Over all rounds, in short texts too."""
+    flat, at, owner = lm.Texts({}).padded([corpus.words(n, n) for n in (1, 2, 3, 5, 6, 11, 12, 13, 40)] + ["", None])
+    for rounds in (1, 2, 5, 6, 12):
+        taken = np.concatenate([x for number in range(rounds) for x in lm.masks(at, owner, number, rounds)])
+        assert sorted(taken) == sorted(at)
+    docs = corpus.documents(spark, [(i, f"only{i}") for i in range(30)], 1)
+    net = lm.train(docs, {f"only{i}".encode(): i for i in range(30)})
+    start = lm.Network()
+    assert (net.w["word_bias"].ravel()[:30] != start.w["word_bias"].ravel()[:30]).all()
