@@ -75,8 +75,10 @@ def _write(spark, node, inputs, n):
         path, directory = node.get("connect"), node.get("file")
     if mode == "text":
         files.write_text(inputs[0], path, node.flag("header"), node.get("headerFile"), node.get("formatFile"), node.flag("format"), directory, over)
+    elif mode in ("binary", "parquet"):
+        files.write_parquet(inputs[0], path, over, node.get("headerFile"), node.get("formatFile"), directory)
     else:
-        files.write_parquet(inputs[0], path, over)
+        raise LanguageError(f"{node.name}: unknown mode {mode}")
     return []
 
 

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from functools import reduce
+from itertools import islice
 
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
@@ -110,17 +112,19 @@ def sort_merge(inputs: list[Relation], keys: list[str]) -> Relation:
 
 
 def printed(r: Relation, n: int = 5, frequency: int = 1, where: str | None = None, write=print) -> Relation:
-    """Prints the first rows (in order, where there is one), each frequency-th, that the predicate takes; passes all on."""
-    df = r.df
+    """Prints up to n rows: of every frequency-th one in order (the first, the one `frequency` later, ...), those that the predicate takes. Passes all on.
+
+    With a frequency, rows are streamed through the driver, partition after partition, until n are printed.
+    """
     if frequency > 1:
         if not r.order:
             raise LanguageError("printFrequency needs rows in order")
-        rows = (df.orderBy(*r.ordering()) if r.order else df).select(*r.names).limit(n * frequency).toLocalIterator()
-        picked = [x for i, x in enumerate(rows) if i % frequency == 0]
+        good = F.coalesce(X.condition(where, r.scope()), F.lit(False)) if where else F.lit(True)
+        rows = r.df.orderBy(*r.ordering()).select(*[F.col(f"`{c}`") for c in r.names], good.alias("__good")).toLocalIterator()
+        picked: Iterator | list = islice((x[:-1] for i, x in enumerate(rows) if i % frequency == 0 and x[-1]), n)
     else:
-        shown = filter_rows(r, where, n)
-        picked = shown.visible().collect()
-    for x in picked[:n]:
+        picked = filter_rows(r, where, n).visible().collect()
+    for x in picked:
         write("\t".join("\\N" if v is None else str(v) for v in x))
     return r
 

@@ -9,6 +9,7 @@ the files' names. Files are split and read by Spark, from any file system that i
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -23,7 +24,7 @@ from rivulet.plans.syntax import LanguageError
 
 NULL = "\\N"
 SEPARATORS = {"\\t": "\t", "\\n": "\n"}
-#: Never in a line of text, so that the csv reader, which knows headers, leaves lines whole.
+#: Never in a line of text, so that the csv writer, which knows headers, leaves lines whole.
 NO_SEPARATOR = "\x01"
 
 
@@ -57,16 +58,42 @@ def parsed(lines: DataFrame, fields: list[Field], separator: str, wanted: list[s
     return checked.select(*[parsed_field(F.col("__parts")[i], f).alias(f.name) for i, f in chosen], *keep)
 
 
+def without_first_lines(lines: DataFrame) -> DataFrame:
+    """Lines, as they are read, without the first one of each file: the first row of a split that starts at byte 0. Blank lines are lines.
+
+    Rows are streamed in the order of reading; Spark's csv reader knows headers too, but loses blank lines.
+    """
+    kept = [c for c in lines.columns if c not in ("__file", "__from")]
+
+    def run(batches: Iterator) -> Iterator:
+        import numpy as np
+        import pyarrow as pa
+
+        before = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            at = batch.schema.get_field_index
+            file, start = (batch.column(at(c)).to_numpy() for c in ("__file", "__from"))
+            new = np.ones(len(file), bool)
+            new[1:] = (file[1:] != file[:-1]) | (start[1:] != start[:-1])
+            new[0] = before != (file[0], start[0])
+            before = (file[-1], start[-1])
+            yield batch.select(kept).filter(pa.array(~(new & (start == 0))))
+
+    return lines.mapInArrow(run, lines.select(*kept).schema)
+
+
 def read_text(spark: SparkSession, file: str, fields: list[Field], field_separator: str = "\t", record_separator: str = "\n", comment: str | None = None, skip_header: bool = False, output: list[str] | None = None, bucketed: bool = False) -> Relation:
     field_separator, record_separator = (SEPARATORS.get(s, s) for s in (field_separator, record_separator))
     if bucketed:
         file = file.rstrip("/") + "/serial_*"
+    lines = spark.read.text(file, lineSep=record_separator)
+    extra = [F.regexp_extract(F.input_file_name(), r"serial_(\d+)", 1).cast("int").alias("__bucket")] if bucketed else []
+    split = [F.xxhash64(F.input_file_name()).alias("__file"), F.input_file_block_start().alias("__from")] if skip_header else []
+    lines = lines.select("value", F.monotonically_increasing_id().alias(ORDER), *extra, *split)
     if skip_header:
-        options = {"header": True, "sep": NO_SEPARATOR, "quote": "", "lineSep": record_separator, "maxCharsPerColumn": -1, "enforceSchema": True, "mode": "FAILFAST"}
-        lines = spark.read.schema("value string").options(**options).csv(file).select(F.coalesce("value", F.lit("")).alias("value"))
-    else:
-        lines = spark.read.text(file, lineSep=record_separator)
-    lines = lines.select("value", F.monotonically_increasing_id().alias(ORDER), *([F.regexp_extract(F.input_file_name(), r"serial_(\d+)", 1).cast("int").alias("__bucket")] if bucketed else []))
+        lines = without_first_lines(lines)
     if comment:
         lines = lines.where(~F.col("value").startswith(comment))
     if output is not None:
@@ -105,25 +132,35 @@ def line(r: Relation) -> Column:
     return F.concat(*reduce(lambda a, b: [*a, F.lit("\t"), b], parts[1:], [parts[0]])) if parts else F.lit("")
 
 
+def write_sides(r: Relation, header_file: str | None, format_file: str | None, mode: str) -> None:
+    """The names and the format of a relation's fields, in files of their own."""
+    for target, text in ((header_file, "\t".join(r.names)), (format_file, print_format(r.fields))):
+        if target:
+            r.df.sparkSession.range(1).select(F.lit(text).alias("value")).coalesce(1).write.mode(mode).text(target)
+
+
+def folders(r: Relation, directory: str | None) -> list[tuple[str, Column]]:
+    """The column, if any, that tells the folder of each row: `dir`, with underscores added while a field has that name."""
+    if directory is None:
+        return []
+    name = "dir"
+    while name in {n.lower() for n in r.names}:
+        name += "_"
+    return [(name, X.value(directory, r.scope()).column.cast("string").alias(name))]
+
+
 def write_text(r: Relation, path: str, header: bool = False, header_file: str | None = None, format_file: str | None = None, format_line: bool = False, directory: str | None = None, mode: str = "errorifexists") -> None:
     """Tab-separated lines, in the relation's order, under the folder `path`; `.gz` paths are compressed.
 
     header: the first line of each part file, written for empty outputs too. directory: an
     expression that tells the folder of each row.
     """
-    spark = r.df.sparkSession
-    names = "\t".join(r.names)
-    for target, text in ((header_file, names), (format_file, print_format(r.fields))):
-        if target:
-            spark.range(1).select(F.lit(text).alias("value")).coalesce(1).write.mode(mode).text(target)
+    write_sides(r, header_file, format_file, mode)
     gzip = {"compression": "gzip"} if path.endswith(".gz") or ".gz/" in path else {}
-    extra = []
-    if directory:
-        extra = [X.value(directory, r.scope()).column.cast("string").alias("dir")]
+    names, extra = "\t".join(r.names), folders(r, directory)
     first = print_format(r.fields) if format_line else names
-    df = r.df.select(line(r).alias(first if header or format_line else "value"), *extra)
-    out = df.write.mode(mode).options(**gzip)
-    out = out.partitionBy("dir") if directory else out
+    df = r.df.select(line(r).alias(first if header or format_line else "value"), *[c for _, c in extra])
+    out = df.write.mode(mode).options(**gzip).partitionBy(*[n for n, _ in extra])
     if header or format_line:
         plain = {"header": True, "sep": NO_SEPARATOR, "quote": "", "escapeQuotes": False, "emptyValue": "", "nullValue": "", "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
         out.options(**plain).csv(path)
@@ -131,8 +168,11 @@ def write_text(r: Relation, path: str, header: bool = False, header_file: str |
         out.text(path)
 
 
-def write_parquet(r: Relation, path: str, mode: str = "errorifexists") -> None:
-    r.visible().write.mode(mode).parquet(path)
+def write_parquet(r: Relation, path: str, mode: str = "errorifexists", header_file: str | None = None, format_file: str | None = None, directory: str | None = None) -> None:
+    """Parquet under the folder `path`; a file has its names and types, so headers and formats go to files of their own alone."""
+    write_sides(r, header_file, format_file, mode)
+    extra = folders(r, directory)
+    r.df.select(*[F.col(f"`{n}`") for n in r.names], *[c for _, c in extra]).write.mode(mode).partitionBy(*[n for n, _ in extra]).parquet(path)
 
 
 def constant(spark: SparkSession, rows: list[tuple], fields: list[Field]) -> Relation:

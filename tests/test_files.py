@@ -132,3 +132,66 @@ def test_partitioning(spark):
     both = exchange.concatenated([a, shape.sort(b, ["k DESC"])])
     assert [tuple(r) for r in shape.filter_rows(both, None, 22).visible().collect()][-2:] == [(4, "b"), (3, "b")]
     assert exchange.collected([a, b]).df.count() == 25 and exchange.to_all(a).df.count() == 20
+
+
+def test_blank_lines_are_lines_after_a_header(spark, tmp_path):
+    for name in ("a.txt", "b.txt"):
+        put(tmp_path / name, ["head", "", "  ", "x", ""])
+    with gzip.open(tmp_path / "c.txt.gz", "wt") as f:
+        f.write("head\nhead\n\n")
+    (tmp_path / "d.txt").write_text("")
+    (tmp_path / "e.txt").write_text("head")
+    got = rows(run(spark, f'r = read[file="{tmp_path}/*", format="a VARCHAR", mode="text", skipHeader="true"];'))
+    assert sorted(x for (x,) in got) == sorted(["", "  ", "x", ""] * 2 + ["head", ""])
+
+
+def test_a_header_is_skipped_once_in_a_file_of_many_splits(spark, tmp_path):
+    f = put(tmp_path / "in.txt", ["k", *map(str, range(3000))])
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1000")
+    try:
+        df = run(spark, f'r = read[file="{f}", format="k INTEGER", mode="text", skipHeader="true"];')
+        assert df.rdd.getNumPartitions() > 3 and sorted(x for (x,) in rows(df)) == [*range(3000)]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def test_print_with_frequency_and_predicate(spark):
+    from rivulet.operators import shape
+
+    r = shape.generate(spark, "RECORDCOUNT AS a", 20)
+    for n, frequency, where, want in ((3, 2, "a > 10LL", [12, 14, 16]), (5, 7, None, [0, 7, 14]), (2, 1, "a > 10LL", [11, 12]), (9, 2, "a % 2LL = 1LL", [])):
+        said = []
+        assert shape.printed(r, n, frequency, where, said.append) is r
+        assert [int(x) for x in said] == want
+
+
+def test_binary_write_to_a_folder_for_each_row(spark, tmp_path):
+    text = f"""g = generate[output="RECORDCOUNT AS i, CASE WHEN RECORDCOUNT % 2LL = 0LL THEN 'even' ELSE 'odd' END AS dir", numRecords=6];
+    w = write[connect="{tmp_path}/o", file="dir", mode="binary", headerFile="{tmp_path}/h", formatFile="{tmp_path}/f"]; g -> w;"""
+    Graph.parse(text).run(spark)
+    assert {p.name for p in (tmp_path / "o").iterdir() if p.is_dir()} == {"dir_=even", "dir_=odd"}
+    assert sorted(r["i"] for r in spark.read.parquet(f"{tmp_path}/o/dir_=odd").collect()) == [1, 3, 5]
+    assert spark.read.text(f"{tmp_path}/h").first()[0] == "i\tdir" and spark.read.text(f"{tmp_path}/f").first()[0] == "i BIGINT,dir VARCHAR"
+
+
+def test_shared_folder(spark, tmp_path):
+    from rivulet import session
+
+    path = session.shared_path(spark, "x")
+    spark.range(3).write.parquet(path)
+    session.remove(spark, path)
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        spark.read.parquet(path)
+    session.remove(spark, path)
+
+    class Cluster:
+        class conf:
+            get = staticmethod(lambda key, default: default)
+
+        class sparkContext:
+            getCheckpointDir = staticmethod(lambda: None)
+            master = "yarn"
+
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        session.shared_dir(Cluster)
