@@ -8,6 +8,7 @@ type, regular expressions match whole texts, dates at the end of a month stay th
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from dataclasses import dataclass, field, replace
 from decimal import Decimal
 
@@ -22,13 +23,13 @@ from rivulet.plans.syntax import LanguageError, Node, Parser
 
 @dataclass
 class Scope:
-    """What names mean: fields by alias, and locals. keys: where not None, the only names that are seen outside of aggregates. window: aggregates run over it."""
+    """What names mean: fields by alias, and locals. keys: where not None, the only names that are seen outside of aggregates. window: aggregates run over it, or are the columns that it gives for their names and arguments."""
 
     fields: dict[str, dict[str, Typed]]
     locals: dict[str, Typed] = field(default_factory=dict)
     aggregates: bool = False
     keys: frozenset[str] | None = None
-    window: WindowSpec | None = None
+    window: WindowSpec | Callable[[str, Column], Column] | None = None
     inside: bool = False
 
     def find(self, alias: str | None, name: str) -> Typed:
@@ -258,8 +259,10 @@ def _aggregate(n: Node, s: Scope) -> Typed:
     if n.value == "SUM" and not scalars.is_numeric(x.type):
         raise LanguageError(f"SUM does not take {x.type}")
     made = {"SUM": F.sum, "MIN": F.min, "MAX": F.max}[str(n.value)](x.column)
-    if s.window is not None:
+    if isinstance(s.window, WindowSpec):
         made = made.over(s.window)
+    elif s.window is not None:
+        made = s.window(str(n.value), x.column)
     return Typed(made.cast(x.type.spark) if n.value == "SUM" else made, x.type.null(), True, True)
 
 

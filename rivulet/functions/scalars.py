@@ -12,6 +12,7 @@ from rivulet.plans.syntax import LanguageError
 
 SPACE = " \t\n\r\f\x0b"
 EASTERN = "America/New_York"
+LOWER, UPPER = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
 def digits(text: Column, kind: str) -> Column:
@@ -115,10 +116,10 @@ FUNCTIONS: dict[str, tuple[tuple[str, ...], str, Callable[..., Column]]] = {
     "trim": (("VARCHAR",), "VARCHAR", lambda s: F.btrim(s, F.lit(SPACE))),
     "ltrim": (("VARCHAR",), "VARCHAR", lambda s: F.ltrim(s, F.lit(SPACE))),
     "rtrim": (("VARCHAR",), "VARCHAR", lambda s: F.rtrim(s, F.lit(SPACE))),
-    "lower": (("VARCHAR",), "VARCHAR", F.lower),
-    "upper": (("VARCHAR",), "VARCHAR", F.upper),
+    "lower": (("VARCHAR",), "VARCHAR", lambda s: F.translate(s, UPPER, LOWER)),
+    "upper": (("VARCHAR",), "VARCHAR", lambda s: F.translate(s, LOWER, UPPER)),
     "md5": (("VARCHAR",), "VARCHAR", lambda s: F.md5(s.cast("binary"))),
-    "substr": (("VARCHAR", "INTEGER", "INTEGER"), "VARCHAR", lambda s, a, n: F.substring(s, a + 1, F.when(n < 0, F.length(s)).otherwise(n))),
+    "substr": (("VARCHAR", "INTEGER", "INTEGER"), "VARCHAR", lambda s, a, n: F.substring(s.cast("binary"), a + 1, F.when(n < 0, F.octet_length(s)).otherwise(n)).cast("string")),
     "utc_timestamp": ((), "DATETIME", lambda: F.to_utc_timestamp(F.current_timestamp(), F.current_timezone()).cast("timestamp_ntz")),
     "unix_timestamp": (("DATETIME",), "BIGINT", lambda t: F.unix_seconds(F.make_timestamp(F.year(t), F.month(t), F.dayofmonth(t), F.hour(t), F.minute(t), F.second(t).cast("decimal(8,6)"), F.lit(EASTERN)))),
     "from_unixtime": (("BIGINT",), "DATETIME", lambda x: F.convert_timezone(F.current_timezone(), F.lit(EASTERN), F.timestamp_seconds(x).cast("timestamp_ntz"))),

@@ -1,7 +1,7 @@
 """Group by, running totals and folds.
 
 Aggregates become one Spark aggregation, partial before the shuffle. Running totals are window
-functions over ROWS UNBOUNDED PRECEDING. Folds (initialize and update) are sequential by their
+functions over ROWS UNBOUNDED PRECEDING, without keys in two levels over ranges of the order. Folds (initialize and update) are sequential by their
 nature: rows are partitioned by key, sorted by key and order within partitions, and streamed
 through the fold, so a group of any size takes the memory of one state.
 """
@@ -21,7 +21,7 @@ from rivulet.functions.types import Field
 from rivulet.operators.relation import Relation, empty_scope
 from rivulet.operators.shape import sort_key
 from rivulet.plans.syntax import LanguageError
-from rivulet.session import ship
+from rivulet.session import shared_path, ship
 
 
 def _named(r: Relation, keys: list[str]) -> list[Column]:
@@ -45,10 +45,40 @@ def _ordered(r: Relation, order_by: list[str]) -> Relation:
 def running(r: Relation, keys: list[str], output: str, order_by: list[str] = ()) -> Relation:  # type: ignore[assignment]
     """Each row with aggregates over the rows of its keys up to it. The order is orderBy, or that of the nearest sort."""
     r = _ordered(r, list(order_by))
-    over = Window.partitionBy(*(_named(r, keys) or [F.lit(0)])).orderBy(*r.ordering()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    if not keys:
+        return _running_of_all(r, output)
+    over = Window.partitionBy(*_named(r, keys)).orderBy(*r.ordering()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     return r.select(X.record(output, r.scope(aggregates=True, window=over)))
 
 
+def _running_of_all(r: Relation, output: str) -> Relation:
+    """A running total in two levels: within ranges of the order, and over the totals of the ranges before, a row for each range.
+
+    The ranges are written first, as both levels must see the same ones.
+    """
+    spark, order = r.df.sparkSession, r.ordering()
+    n, path = int(spark.conf.get("spark.sql.shuffle.partitions")), shared_path(spark, "ranges")
+    ranged = r.df.repartitionByRange(n, *order).withColumn("__range", F.spark_partition_id())
+    ranged.write.parquet(path)
+    asked: list[tuple[str, Column]] = []
+
+    def later(kind: str, argument: Column) -> Column:
+        asked.append((kind, argument))
+        return F.col(f"__total{len(asked) - 1}")
+
+    made = X.record(output, r.scope(aggregates=True, window=later))
+    of = {"SUM": F.sum, "MIN": F.min, "MAX": F.max}
+    both = {"SUM": lambda a, b: F.coalesce(a + b, a, b), "MIN": F.least, "MAX": F.greatest}
+    rows = spark.read.schema(ranged.schema).parquet(path).select("*", *[c.alias(f"__value{i}") for i, (_, c) in enumerate(asked)])
+    totals = rows.groupBy("__range").agg(F.count("*").alias("__n"), *[of[k](f"__value{i}").alias(f"__all{i}") for i, (k, _) in enumerate(asked)])
+    earlier = Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    before = totals.select("__range", *[of[k](f"__all{i}").over(earlier).alias(f"__before{i}") for i, (k, _) in enumerate(asked)])
+    within = Window.partitionBy("__range").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    placed = rows.join(F.broadcast(before), "__range")
+    placed = placed.withColumns({f"__total{i}": both[k](F.col(f"__before{i}"), of[k](f"__value{i}").over(within)) for i, (k, _) in enumerate(asked)})
+    return Relation(placed, r.fields, r.order).select(made)
+
+
 def fold(r: Relation, keys: list[str], initialize: str, update: str, each: bool = False, order_by: list[str] = ()) -> Relation:  # type: ignore[assignment]
     """Keys and the state that `update` leaves after the rows of each group in order; each: after every row."""
     r = _ordered(r, list(order_by))
