@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rivulet.plans.graph import MapReduceJob, run
+from rivulet.plans.graph import Graph, MapReduceJob, run
 from rivulet.session import shared_path
 from rivulet.sources import files
 
@@ -118,15 +118,21 @@ script(
     """SELECT metric, l_returnflag, CAST(sum(CENTS{value}) AS BIGINT) AS total, count(*) AS n FROM
     (SELECT l_returnflag, unnest(['quantity','discount','tax']) AS metric, unnest([l_quantity, l_discount, l_tax]) AS value FROM lineitem) GROUP BY ALL""",
 )
-script("sort_multi", ("part",), 's = sort[key="p_size DESC", key="p_name", key="p_partkey"]; part -> s;', "SELECT * FROM part")
+# rows are compared as bags, so sorts are followed by a count of the rows so far, which tells the order
+_PLACE = 'n = sort_group_by[runningtotal="true", output="{}, SUM(1LL) AS place"]; s -> n;'
+script(
+    "sort_multi", ("part",), 's = sort[key="p_size DESC", key="p_name", key="p_partkey"]; part -> s; ' + _PLACE.format("p_size, p_name, p_partkey"),
+    "SELECT p_size, p_name, p_partkey, row_number() OVER (ORDER BY p_size DESC, p_name, p_partkey) AS place FROM part",
+)
 script(
     "sort_presorted", ("nation",), 's = sort[presorted="n_regionkey", key="n_name DESC"]; f = filter[limit=7]; nation -> s; s -> f;',
     "SELECT * FROM nation ORDER BY n_regionkey, n_name DESC LIMIT 7",
 )
 script(
     "sort_merge_two", ("customer", "supplier"),
-    """a = copy[output="c_nationkey AS k, c_custkey AS id"]; b = copy[output="s_nationkey AS k, s_suppkey AS id"]; x = sort[key="k"]; y = sort[key="k"]; m = sort_merge[key="k"]; customer -> a; supplier -> b; a -> x; b -> y; x -> m; y -> m;""",
-    "SELECT c_nationkey AS k, c_custkey AS id FROM customer UNION ALL SELECT s_nationkey, s_suppkey FROM supplier",
+    """a = copy[output="c_nationkey AS k, c_custkey AS id"]; b = copy[output="s_nationkey AS k, -s_suppkey AS id"]; x = sort[key="k", key="id"]; y = sort[key="k", key="id"]; s = sort_merge[key="k", key="id"]; customer -> a; supplier -> b; a -> x; b -> y; x -> s; y -> s; """
+    + _PLACE.format("k, id"),
+    "SELECT *, row_number() OVER (ORDER BY k, id) AS place FROM (SELECT c_nationkey AS k, c_custkey AS id FROM customer UNION ALL SELECT s_nationkey, -s_suppkey FROM supplier)",
 )
 script(
     "sort_null_low", ("customer",), """c = copy[output="c_custkey, CASE WHEN c_custkey % 5LL = 0LL THEN NULL ELSE c_custkey % 11LL END AS k"]; s = sort[key="k DESC", key="c_custkey"]; f = filter[limit=50]; customer -> c; c -> s; s -> f;""",
@@ -227,35 +233,69 @@ script(
         DECLARE i INTEGER SET i = 0 WHILE i < 3 DO SET i = i + 1 SET steps = steps + i END WHILE"]; orders -> s; s -> g;""",
     "SELECT o_custkey, CAST(count(*) FILTER (o_orderkey % 2 = 1) AS INTEGER) AS odd, CAST(count(*) FILTER (o_orderkey % 2 = 0) AS INTEGER) AS even, CAST(6 * count(*) AS INTEGER) AS steps FROM orders GROUP BY 1",
 )
-script(
-    "scalar_strings", ("customer",),
-    """c = copy[output="c_custkey, length(c_name) AS len, substr(c_name, 3, 4) AS mid, substr(c_name, 9, -1) AS tail, lower(c_name) AS low, upper(c_mktsegment) AS up, trim('  ' + c_mktsegment + '\\t ') AS bare,
-        c_name + '/' + c_mktsegment AS both, CAST(c_mktsegment AS CHAR(4)) AS four, c_mktsegment RLIKE '(?i)auto.*' AS auto, md5(c_name) AS digest"]; customer -> c;""",
+_FOLD = 'g = sort_group_by[key="{key}", orderBy="{key}", initialize="{first}", update="{update}"]; {table} -> g;'
+
+
+def both_ways(name: str, table: str, key: str, names: dict[str, tuple[str, str]], sql: str, declare: str = "") -> None:
+    """A query of columns, scalar_..., and one of the same in a fold, fold_...: names has the expression and the state to begin with."""
+    columns = ", ".join([key, *([f"DECLARE {declare}"] if declare else []), *[f"{x} AS {n}" for n, (x, _) in names.items()]])
+    script(f"scalar_{name}", (table,), f'c = copy[output="{columns}"]; {table} -> c;', sql)
+    first, update = ", ".join(f"{x} AS {n}" for n, (_, x) in names.items()), " ".join([*([f"DECLARE {declare}"] if declare else []), *[f"SET {n} = {x}" for n, (x, _) in names.items()]])
+    script(f"fold_{name}", (table,), _FOLD.format(key=key, first=first, update=update, table=table), sql)
+
+
+_TEXT, _INT, _LONG, _DATE, _TIME, _REAL = "''", "0", "0LL", "CAST('1970-01-01' AS DATE)", "CAST('1970-01-01' AS DATETIME)", "0.0e0"
+both_ways(
+    "strings", "customer", "c_custkey",
+    {
+        "len": ("length(c_name)", _INT), "mid": ("substr(c_name, 3, 4)", _TEXT), "tail": ("substr(c_name, 9, -1)", _TEXT), "low": ("lower(c_name)", _TEXT), "up": ("upper(c_mktsegment)", _TEXT),
+        "bare": ("trim('  ' + c_mktsegment + '\\t ')", _TEXT), "both": ("c_name + '/' + c_mktsegment", _TEXT), "four": ("CAST(c_mktsegment AS CHAR(4))", "CAST('' AS CHAR(4))"),
+        "auto": ("c_mktsegment RLIKE '(?i)auto.*'", _INT), "digest": ("md5(c_name)", _TEXT), "left": ("ltrim('  ' + c_mktsegment + ' ')", _TEXT), "right": ("rtrim('  ' + c_mktsegment + ' ')", _TEXT),
+        "bytes": ("length('é' + c_name)", _INT), "after": ("substr('é' + c_name, 2, 3)", _TEXT), "plain": ("lower('É') + upper('é')", _TEXT),
+    },
     """SELECT c_custkey, CAST(strlen(c_name) AS INTEGER) AS len, substr(c_name, 4, 4) AS mid, substr(c_name, 10) AS tail, lower(c_name) AS low, upper(c_mktsegment) AS up, c_mktsegment AS bare,
-        c_name || '/' || c_mktsegment AS both, rpad(c_mktsegment, 4, ' ') AS four, CAST(regexp_full_match(c_mktsegment, '(?i)auto.*') AS INTEGER) AS auto, md5(c_name) AS digest FROM customer""",
-)
-script(
-    "scalar_dates", ("orders",),
-    """c = copy[output="o_orderkey, DECLARE d = date(o_orderdate), year(d) AS y, month(d) AS m, dayofmonth(d) AS dom, dayofyear(d) AS doy, dayofweek(d) AS dow, last_day(d) AS last, datediff(d, CAST('1995-01-01' AS DATE)) AS days,
-        julian_day(d) AS julian, CAST(d AS INTEGER) AS ymd, CAST(o_orderdate AS BIGINT) AS stamp"]; orders -> c;""",
+        c_name || '/' || c_mktsegment AS both, rpad(c_mktsegment, 4, ' ') AS four, CAST(regexp_full_match(c_mktsegment, '(?i)auto.*') AS INTEGER) AS auto, md5(c_name) AS digest,
+        c_mktsegment || ' ' AS left, '  ' || c_mktsegment AS right, CAST(strlen(c_name) + 2 AS INTEGER) AS bytes, left(c_name, 3) AS after, 'Éé' AS plain FROM customer""",
+)
+both_ways(
+    "dates", "orders", "o_orderkey",
+    {
+        "y": ("year(d)", _INT), "m": ("month(d)", _INT), "dom": ("dayofmonth(d)", _INT), "doy": ("dayofyear(d)", _INT), "dow": ("dayofweek(d)", _INT), "last": ("last_day(d)", _DATE),
+        "days": ("datediff(d, CAST('1995-01-01' AS DATE))", _INT), "julian": ("julian_day(d)", _INT), "ymd": ("CAST(d AS INTEGER)", _INT), "stamp": ("CAST(o_orderdate AS BIGINT)", _LONG),
+        "same": ("from_unixtime(unix_timestamp(o_orderdate)) = o_orderdate", _INT), "known": ("unix_timestamp(CAST('2011-02-17 15:38:33' AS DATETIME))", _LONG),
+        "back": ("from_unixtime(1326391943LL)", _TIME), "recent": ("utc_timestamp() > o_orderdate", _INT),
+    },
     """SELECT o_orderkey, CAST(year(d) AS INTEGER) AS y, CAST(month(d) AS INTEGER) AS m, CAST(day(d) AS INTEGER) AS dom, CAST(dayofyear(d) AS INTEGER) AS doy, CAST(dayofweek(d)+1 AS INTEGER) AS dow, last_day(d) AS last,
-        CAST(datediff('day', DATE '1995-01-01', d) AS INTEGER) AS days, CAST(julian(d) AS INTEGER) AS julian, CAST(strftime(d, '%Y%m%d') AS INTEGER) AS ymd, CAST(strftime(o_orderdate, '%Y%m%d%H%M%S') AS BIGINT) AS stamp
+        CAST(datediff('day', DATE '1995-01-01', d) AS INTEGER) AS days, CAST(julian(d) AS INTEGER) AS julian, CAST(strftime(d, '%Y%m%d') AS INTEGER) AS ymd, CAST(strftime(o_orderdate, '%Y%m%d%H%M%S') AS BIGINT) AS stamp,
+        1 AS same, CAST(1297975113 AS BIGINT) AS known, TIMESTAMP '2012-01-12 13:12:23' AS back, 1 AS recent
     FROM (SELECT o_orderkey, o_orderdate, CAST(o_orderdate AS DATE) AS d FROM orders)""",
-)
-script(
-    "intervals", ("orders",),
-    """c = copy[output="o_orderkey, DECLARE d = date(o_orderdate), d + INTERVAL 5 DAY AS d5, d - INTERVAL 2 YEAR AS y2, d + INTERVAL 1 MONTH AS m1, d + INTERVAL 3 HOUR AS h3, o_orderdate - INTERVAL 90 MINUTE AS back, o_orderdate + INTERVAL 7 SECOND AS s7, INTERVAL 4 DAY AS four"]; orders -> c;""",
+    "d = date(o_orderdate)",
+)
+both_ways(
+    "intervals", "orders", "o_orderkey",
+    {
+        "d5": ("d + INTERVAL 5 DAY", _DATE), "y2": ("d - INTERVAL 2 YEAR", _DATE), "m1": ("d + INTERVAL 1 MONTH", _DATE), "h3": ("d + INTERVAL 3 HOUR", _TIME),
+        "back": ("o_orderdate - INTERVAL 90 MINUTE", _TIME), "s7": ("o_orderdate + INTERVAL 7 SECOND", _TIME), "varied": ("INTERVAL CAST(o_orderkey % 5LL AS INTEGER) DAY + d", _DATE),
+    },
     """SELECT o_orderkey, CAST(d + INTERVAL 5 DAY AS DATE) AS d5, CAST(CASE WHEN d = last_day(d) THEN last_day(d - INTERVAL 2 YEAR) ELSE d - INTERVAL 2 YEAR END AS DATE) AS y2,
-        CAST(CASE WHEN d = last_day(d) THEN last_day(d + INTERVAL 1 MONTH) ELSE d + INTERVAL 1 MONTH END AS DATE) AS m1, CAST(d AS TIMESTAMP) + INTERVAL 3 HOUR AS h3, o_orderdate - INTERVAL 90 MINUTE AS back, o_orderdate + INTERVAL 7 SECOND AS s7, 4 AS four
-    FROM (SELECT o_orderkey, o_orderdate, CAST(o_orderdate AS DATE) AS d FROM orders)""",
-)
-script(
-    "scalar_math", ("part",),
-    """c = copy[output="p_partkey, DECLARE i = CAST(ISNULL(p_partkey, 0LL) AS INTEGER) - 700, i/7 AS q, i % 7 AS r, -i AS neg, ~i AS inv, i & 12 AS a, i | 5 AS o, i ^ 9 AS x, 8 | 1 = 1 AS loose, ceil(p_retailprice) AS up, floor(p_retailprice) AS down,
-        least(i, p_size, 20) AS low, greatest(i, p_size) AS high, i > 0 ? 1 : 2 AS side, CAST(round(CAST(p_retailprice AS DECIMAL)/7.0, 0) AS BIGINT) AS seventh"]; part -> c;""",
+        CAST(CASE WHEN d = last_day(d) THEN last_day(d + INTERVAL 1 MONTH) ELSE d + INTERVAL 1 MONTH END AS DATE) AS m1, CAST(d AS TIMESTAMP) + INTERVAL 3 HOUR AS h3, o_orderdate - INTERVAL 90 MINUTE AS back, o_orderdate + INTERVAL 7 SECOND AS s7,
+        CAST(d + CAST(o_orderkey % 5 AS INTEGER) AS DATE) AS varied FROM (SELECT o_orderkey, o_orderdate, CAST(o_orderdate AS DATE) AS d FROM orders)""",
+    "d = date(o_orderdate)",
+)
+both_ways(
+    "math", "part", "p_partkey",
+    {
+        "q": ("i/7", _INT), "r": ("i % 7", _INT), "neg": ("-i", _INT), "inv": ("~i", _INT), "a": ("i & 12", _INT), "o": ("i | 5", _INT), "x": ("i ^ 9", _INT), "loose": ("8 | 1 = 1", _INT),
+        "up": ("ceil(p_retailprice)", _REAL), "down": ("floor(p_retailprice)", _REAL), "low": ("least(i, p_size, 20)", _INT), "high": ("greatest(i, p_size)", _INT), "side": ("i > 0 ? 1 : 2", _INT),
+        "seventh": ("CAST(round(CAST(p_retailprice AS DECIMAL)/7.0, 0) AS BIGINT)", _LONG), "tenths": ("CAST(p_retailprice AS DECIMAL)*0.1", "0.0"), "root": ("CAST(sqrt(CAST(i*i AS DOUBLE PRECISION)) AS INTEGER)", _INT),
+        "power": ("CAST(round(CAST(exp(log(p_retailprice)) AS DECIMAL), 2)*100 AS BIGINT)", _LONG), "first": ("$(i)", _INT), "long": ("$(p_partkey)", _INT), "alike": ("#(p_partkey, p_name) = #(p_partkey, p_name)", _INT),
+    },
     """SELECT p_partkey, i // 7 AS q, i % 7 AS r, -i AS neg, ~i AS inv, i & 12 AS a, i | 5 AS o, xor(i, 9) AS x, 8 | 1 AS loose, ceil(p_retailprice) AS up, floor(p_retailprice) AS down,
-        least(i, p_size, 20) AS low, greatest(i, p_size) AS high, CASE WHEN i > 0 THEN 1 ELSE 2 END AS side, CAST(round_even(CAST(CAST(p_retailprice AS DECIMAL(28,9))/7 AS DECIMAL(28,6)), 0) AS BIGINT) AS seventh
+        least(i, p_size, 20) AS low, greatest(i, p_size) AS high, CASE WHEN i > 0 THEN 1 ELSE 2 END AS side, CAST(round_even(CAST(CAST(p_retailprice AS DECIMAL(28,9))/7 AS DECIMAL(28,6)), 0) AS BIGINT) AS seventh,
+        CAST(CAST(p_retailprice AS DECIMAL(18,6)) * 0.1 AS DECIMAL(28,9)) AS tenths, abs(i) AS root, CAST(round_even(p_retailprice * 100, 0) AS BIGINT) AS power,
+        CAST((CAST(i AS BIGINT) + 2147483648) >> 1 AS INTEGER) AS first, CAST((CAST(p_partkey AS HUGEINT) + 9223372036854775808) // 8589934592 AS INTEGER) AS long, 1 AS alike
     FROM (SELECT *, CAST(p_partkey AS INTEGER) - 700 AS i FROM part)""",
+    "i = CAST(ISNULL(p_partkey, 0LL) AS INTEGER) - 700",
 )
 script(
     "arrays", ("nation",), """c = copy[output="n_nationkey, DECLARE a = [ISNULL(n_regionkey, 0), 7, ISNULL(n_nationkey, 0)], a[0] + a[2] AS ends, a[n_regionkey % 1 + 1] AS mid"]; nation -> c;""",
@@ -287,8 +327,6 @@ def text_roundtrip(spark: SparkSession, d: str) -> DataFrame:
     path = shared_path(spark, "nation") + ".gz"
     run_ = f"""{tables(d, "nation")} c = copy[output="n_nationkey, CASE WHEN n_regionkey = 2 THEN NULL ELSE n_name END AS name, CAST(n_regionkey AS DOUBLE PRECISION)/4.0e0 AS quarter, CAST('1999-12-31' AS DATE) AS d"];
         w = write[file="{path}", mode="text", header="true", formatFile="{path}.format"]; nation -> c; c -> w;"""
-    from rivulet.plans.graph import Graph
-
     Graph.parse(run_).run(spark)
     return run(spark, f'r = read[file="{path}", mode="text", formatFile="{path}.format", skipHeader="true"];')
 
@@ -299,8 +337,6 @@ ORACLE_SQL["text_roundtrip"] = "SELECT n_nationkey, CASE WHEN n_regionkey = 2 TH
 
 def text_dynamic(spark: SparkSession, d: str) -> DataFrame:
     """Rows written to a folder for each market segment, counted by folder."""
-    from rivulet.plans.graph import Graph
-
     path = shared_path(spark, "segments")
     Graph.parse(f"""{tables(d, "customer")} w = write[connect="{path}", file="lower(c_mktsegment)", mode="text"]; customer -> w;""").run(spark)
     back = spark.read.text(path)
@@ -367,6 +403,127 @@ def constant_rows(spark: SparkSession, d: str) -> DataFrame:
     return files.constant(spark, [(1, "one"), (2, None)], files.read_format(spark, "k INTEGER, name VARCHAR NULL", None)).visible()
 
 
+def graph(spark: SparkSession, text: str, **given) -> None:
+    """Runs a script for what its sinks do."""
+    Graph.parse(text).run(spark, given)
+
+
+def query(sql: str) -> Callable[[Query], Query]:
+    def add(f: Query) -> Query:
+        QUERIES[f.__name__], ORACLE_SQL[f.__name__] = f, sql
+        return f
+
+    return add
+
+
+@query("SELECT * FROM (VALUES ('a'), (''), ('  '), ('b')) v(line) UNION ALL SELECT * FROM (VALUES ('a'), (''), ('  '), ('b')) w(line)")
+def read_skip_header(spark: SparkSession, d: str) -> DataFrame:
+    """Two files with a header and blank lines, which are lines."""
+    path = shared_path(spark, "headed")
+    one = spark.createDataFrame([("head\na\n\n  \nb",)], "value string").coalesce(1)
+    for _ in range(2):
+        one.write.mode("append").text(path)
+    return run(spark, f'r = read[file="{path}/part-*", mode="text", format="line VARCHAR", skipHeader="true"];')
+
+
+@query("SELECT n_name AS name, CAST(n_nationkey AS INTEGER) AS k FROM nation WHERE n_regionkey > 0")
+def read_comments_projection(spark: SparkSession, d: str) -> DataFrame:
+    """Lines with comments between; a middle field is skipped, others change places."""
+    path = shared_path(spark, "commented")
+    nation = spark.read.parquet(f"{d}/nation.parquet")
+    rows = F.concat(F.when(F.col("n_regionkey") == 0, "#").otherwise(""), F.concat_ws("|", "n_nationkey", "n_regionkey", "n_name"))
+    nation.select(rows.alias("value")).write.text(path)
+    return run(spark, f'r = read[file="{path}/part-*", mode="text", format="k INTEGER, region INTEGER, name VARCHAR", fieldSeparator="|", comment="#", output="name,k"];')
+
+
+@query("SELECT 2 * i + 2 AS n, CAST(2 * i + 2 AS VARCHAR) || ' ' AS text FROM (SELECT unnest(range(5, 8)) AS i)")
+def print_every(spark: SparkSession, d: str) -> DataFrame:
+    """Of every second row, the first three that a predicate takes, as they are printed."""
+    from rivulet.operators import shape
+
+    said: list[str] = []
+    shape.printed(shape.generate(spark, "RECORDCOUNT AS a, CAST(RECORDCOUNT AS VARCHAR) + ' ' AS t", 40), 3, 2, "a > 10LL", said.append)
+    return spark.createDataFrame([(int(x.split("\t")[0]), x.split("\t")[1]) for x in said], "n long, text string")
+
+
+@query("SELECT lower(o_orderstatus) AS folder, count(*) AS n, min(o_orderkey) AS low FROM orders GROUP BY 1")
+def write_binary_dynamic(spark: SparkSession, d: str) -> DataFrame:
+    """Rows written as Parquet to a folder for each status, counted by folder."""
+    path = shared_path(spark, "statuses")
+    graph(spark, f"""{tables(d, "orders")} w = write[connect="{path}", file="lower(o_orderstatus)", mode="binary", formatFile="{path}.format"]; orders -> w;""")
+    return spark.read.parquet(path).groupBy(F.col("dir").alias("folder")).agg(F.count("*").alias("n"), F.min("o_orderkey").alias("low"))
+
+
+@query("SELECT o_orderkey, o_orderstatus FROM orders WHERE o_orderstatus = 'F'")
+def write_parquet_read(spark: SparkSession, d: str) -> DataFrame:
+    path = shared_path(spark, "finished")
+    graph(spark, f"""{tables(d, "orders")} f = filter[where="o_orderstatus = 'F'"]; c = copy[output="o_orderkey, o_orderstatus"]; w = write[file="{path}"]; orders -> f; f -> c; c -> w;""")
+    return run(spark, f'r = read[file="{path}"];')
+
+
+@query("SELECT n_nationkey, n_name FROM nation")
+def dev_null(spark: SparkSession, d: str) -> DataFrame:
+    """One outlet is evaluated and dropped, the other goes on."""
+    return run(spark, tables(d, "nation") + 'c = copy[output="n_nationkey, n_name", output="n_regionkey"]; x = devNull[]; p = copy[output="input.*"]; nation -> c; c -> p; c -> x;')
+
+
+@query("SELECT r_regionkey, upper(reverse(r_name)) AS r_name FROM region")
+def plug_in(spark: SparkSession, d: str) -> DataFrame:
+    """An operator of the user's own."""
+    from rivulet.operators.registry import register_operator
+    from rivulet.operators.relation import Relation
+
+    def mirrored(spark, node, inputs, n):
+        r, name = inputs[0], node.get("field")
+        return [Relation(r.df.withColumn(name, F.reverse(name)), r.fields, r.order)]
+
+    register_operator("mirror", mirrored, ("field",))
+    return run(spark, tables(d, "region") + 'm = mirror[field="r_name"]; c = copy[output="r_regionkey, upper(r_name) AS r_name"]; region -> m; m -> c;')
+
+
+@query("SELECT o_custkey % 7 AS k, count(*) AS n, 1 AS parts FROM orders GROUP BY 1")
+def hash_partitioned(spark: SparkSession, d: str) -> DataFrame:
+    """Rows of a key are in one partition."""
+    from rivulet.operators import exchange
+    from rivulet.operators.relation import of_dataframe
+
+    r = of_dataframe(spark.read.parquet(f"{d}/orders.parquet").select((F.col("o_custkey") % 7).alias("k")))
+    return exchange.hash_partition(r, 5, ["k"]).df.withColumn("part", F.spark_partition_id()).groupBy("k").agg(F.count("*").alias("n"), F.count_distinct("part").cast("int").alias("parts"))
+
+
+@query("SELECT s_suppkey, n_name FROM supplier JOIN nation ON s_nationkey = n_nationkey")
+def broadcast_partitioned(spark: SparkSession, d: str) -> DataFrame:
+    from rivulet.operators import exchange, join
+    from rivulet.operators.relation import of_dataframe
+
+    nation, supplier = (of_dataframe(spark.read.parquet(f"{d}/{t}.parquet")) for t in ("nation", "supplier"))
+    return join.join(exchange.to_all(nation), supplier, "inner", ["n_nationkey"], ["s_nationkey"], None, "s_suppkey, n_name").visible()
+
+
+@query("SELECT n_name AS name FROM nation UNION ALL SELECT r_name FROM region")
+def collected(spark: SparkSession, d: str) -> DataFrame:
+    """Partitions back together, in no order."""
+    from rivulet.operators import exchange
+    from rivulet.operators.relation import of_dataframe
+
+    sides = [of_dataframe(spark.read.parquet(f"{d}/{t}.parquet").select(F.col(c).alias("name"))) for t, c in (("nation", "n_name"), ("region", "r_name"))]
+    return exchange.collected([exchange.hash_partition(r, 3, ["name"]) for r in sides]).visible()
+
+
+@query("SELECT n_nationkey AS a, n_regionkey AS b FROM nation WHERE n_regionkey IN (1, 3, 4)")
+def organized_read(spark: SparkSession, d: str) -> DataFrame:
+    """A table in folders by version, date and batch; a predicate on these prunes folders."""
+    from rivulet.functions.types import parse_format
+    from rivulet.sources.organized import read_organized
+
+    path = shared_path(spark, "organized")
+    nation = spark.read.parquet(f"{d}/nation.parquet")
+    for k in range(5):
+        rows = nation.where(F.col("n_regionkey") == k).select(F.concat_ws("\t", "n_nationkey", "n_regionkey").alias("value"))
+        rows.coalesce(1).write.text(f"{path}/3_2/sales/5/{k % 2}/2024010{k + 1}/{k}/serial_00000")
+    return read_organized(spark, path, 3, 2, "sales", 5, parse_format("a INTEGER, b INTEGER"), "MinorNumber = 1 OR Date = CAST('2024-01-05' AS DATE)").visible()
+
+
 QUERIES["constant_rows"] = constant_rows
 ORACLE_SQL["constant_rows"] = "SELECT 1 AS k, 'one' AS name UNION ALL SELECT 2, NULL"
 
