@@ -12,8 +12,9 @@ loss mask covers the text of assistant turns.
 
 Turns are streamed in order within a partition: a conversation's turns are never held at once,
 however many, and no conversation is split. Rows with equal conv_id and turn are all kept, by
-role and text; null roles and texts are empty; null conv_id is a conversation of its own. An
-empty table gives no rows.
+role and text; null roles and texts are empty; null conv_id is a conversation of its own. A
+conversation whose list of turns is null or empty has one row without role and text (null), no
+formatted text and no turns when it is read back. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -133,7 +134,7 @@ def canonical_turns(df: DataFrame) -> DataFrame:
         optional = [c in m.may for _, c in m.parts if c in df.columns]
         kept = [F.when(x["text"] != "", x) if may else x for x, may in zip(parts, optional, strict=True)]
         items = F.array_compact(F.array(*kept))
-    out = df.select(key.alias("conv_id"), F.posexplode(items).alias("turn", "x"))
+    out = df.select(key.alias("conv_id"), F.posexplode_outer(items).alias("turn", "x"))
     return out.select("conv_id", F.col("turn").cast("long").alias("turn"), "x.role", "x.text")
 
 
@@ -180,7 +181,7 @@ def format_turns(turns: DataFrame) -> DataFrame:
             for conv, role, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if conv != now:
                     now, seq, at = conv, 0, 0
-                segment, a, b = write_turn(role, text)
+                segment, a, b = write_turn(role, text) if role is not None else ("", 0, 0)
                 loss = (at + a, at + b) if role == LOSS_ROLE else (None, None)
                 out.append((conv, seq, segment, at, *loss))
                 seq, at = seq + 1, at + len(segment)

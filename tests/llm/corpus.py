@@ -47,5 +47,5 @@ def clashing(df):
     """df with more columns, named as operators name their own."""
     from pyspark.sql import functions as F
 
-    extra = ["key", "size", "v", "n", "band", "bits", "shard", "vslot", "length", "salt", "rank", "base", "found", "both", "rate", "clean", "component", "ids", "part", "at", "own", "also", "bucket", "grams", "m", "id", "k"]
+    extra = ["key", "size", "v", "n", "band", "bits", "shard", "vslot", "length", "salt", "rank", "base", "found", "both", "rate", "clean", "component", "ids", "part", "at", "own", "also", "bucket", "grams", "m", "id", "k", "__id", "__seen", "__rate", "secrets", "seq", "segment", "word", "row", "score", "n_tokens", "mean_score", "mixing rate", "c", "part", "i", "j", "a", "b", "e"]
     return df.withColumns({c: F.lit("other") for c in extra})

@@ -60,6 +60,16 @@ def test_fingerprint_ignores_other_paths(spark):
     assert chat.fingerprint(chat.paths(a.schema)) == chat.fingerprint(chat.paths(b.schema))
 
 
+def test_conversations_without_turns_stay(spark):
+    """Null and empty lists of messages: no formatted text, no turns, and the digests of nothing."""
+    rows = [(1, [("user", "q"), ("assistant", "a")]), (2, []), (3, None), (None, []), (4, [(None, None)])]
+    more = spark.createDataFrame([(*r, "x", 1, 2) for r in rows], "conv_id long, messages array<struct<role:string,content:string>>, seq string, at int, segment int")
+    got = {r["conv_id"]: tuple(r)[1:] for r in chat.digests(chat.format_turns(chat.canonical_turns(more))).collect()}
+    none = hashlib.sha256(b"").hexdigest()
+    assert got.keys() == {1, 2, 3, 4, None} and got[2] == got[3] == got[None] == (0, none, 0, none, 0)
+    assert got[1][0] == 2 and got[1][2] == 1 and got[4][0] == 1 and got[4][1] == hashlib.sha256(b"\n\n").hexdigest()
+
+
 def test_empty(spark):
     none = spark.createDataFrame([], "conv_id long, turn long, role string, text string")
     assert chat.digests(chat.format_turns(chat.canonical_turns(none))).count() == 0
