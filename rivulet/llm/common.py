@@ -5,10 +5,12 @@ from __future__ import annotations
 from collections.abc import Iterator
 from contextlib import contextmanager
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rivulet.session import shared_path, ship
+from rivulet.session import remove, shared_path, ship
 
 #: The ASCII white space that parts words: space, \t, \n, \v, \f, \r.
 SPACES = " \t\n\x0b\x0c\r"
@@ -18,7 +20,23 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """df, cut from its lineage: written as Parquet into the shared folder and read again."""
     path = shared_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.stored_at = path  # type: ignore[attr-defined]
+    return out
+
+
+def discard(*frames: DataFrame) -> None:
+    """Deletes what written() stored for these, which nothing reads any more."""
+    for df in frames:
+        remove(df.sparkSession, df.stored_at)  # type: ignore[attr-defined]
+
+
+def free(name: str, columns: list[str]) -> str:
+    """The name, with underscores added until no column (in any case of letters) has it."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
 
 @contextmanager
@@ -66,7 +84,8 @@ def id_cuts(docs: DataFrame, n: int) -> list[int]:
     return [*dict.fromkeys(cuts or [])]
 
 
-def place_among(cuts: list[int], null_first: bool = True) -> Column:
-    """How many cuts are below doc_id: 0 to len(cuts), in the order of ids."""
-    below = F.size(F.filter(F.array(*map(F.lit, cuts)).cast("array<long>"), lambda c: c < F.col("doc_id")))
-    return F.when(F.col("doc_id").isNull(), 0 if null_first else len(cuts)).otherwise(below).cast("int")
+def places(cuts: np.ndarray, ids: pa.Array, null_first: bool = True) -> np.ndarray:
+    """How many of the ascending cuts are below each id: 0 to len(cuts), in the order of ids."""
+    below = np.searchsorted(cuts, np.asarray(ids.fill_null(0)), side="left").astype(np.int32)
+    below[np.asarray(ids.is_null())] = 0 if null_first else len(cuts)
+    return below

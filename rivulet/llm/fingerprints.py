@@ -24,7 +24,8 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rivulet.llm.common import documents, id_cuts, partitions, place_among
+from rivulet.llm.common import documents, id_cuts, partitions, places
+from rivulet.llm.words import mix
 
 SAMPLES = 128
 MEMORY = 32768
@@ -32,13 +33,6 @@ CHUNK = 4096
 LIKE = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
 
 
-def mix(x: np.ndarray) -> np.ndarray:
-    """The finaliser of splitmix64."""
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
 class Sampler:
     """Draws r, b and the score at weight 1 of terms, and remembers those of a bounded number."""
 
@@ -63,7 +57,7 @@ class Sampler:
         self.row.update(zip(terms, range(at, at + len(terms)), strict=True))
 
     def __call__(self, weights: dict[bytes, float]) -> np.ndarray:
-        """The samples of positive weights, in any order of the terms: ties go to the lower term hash."""
+        """The samples of positive weights, in any order of the terms: of a chunk, ties go to the lower term hash."""
         best, kept = np.full(self.samples, np.inf, np.float32), np.zeros(self.samples, np.uint64)
         terms = sorted(weights) if len(weights) > CHUNK else [*weights]
         for start in range(0, len(terms), CHUNK):
@@ -77,6 +71,8 @@ class Sampler:
                 self._draw(new)
                 rows = [*map(self.row.__getitem__, part)]
             at, w = np.array(rows), np.array([*map(weights.__getitem__, part)], np.float32)
+            order = np.argsort(self.hash[at])
+            at, w = at[order], w[order]
             score = self.one[at]
             many = np.flatnonzero(w != 1)
             t = np.zeros(0, np.float32)
@@ -117,21 +113,38 @@ def dealt_in_order(docs: DataFrame, n: int) -> DataFrame:
     and the texts are shuffled once. After the last document, the first follows. Null ids are last.
     """
     ids = docs.select("doc_id")
-    cuts = id_cuts(ids, n)
-    bucket = F.lit(len(cuts)) - place_among(cuts)
-    first = {r[0]: r[1] for r in ids.groupBy(bucket).agg(F.max("doc_id")).collect()}
+    cuts = np.array(id_cuts(ids, n), np.int64)
+
+    def bucket_of(column: pa.Array) -> np.ndarray:
+        return len(cuts) - places(cuts, column)
+
+    def tops(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best: dict[int, int | None] = {}
+        for batch in batches:
+            bucket, known = bucket_of(batch.column(0)), np.asarray(batch.column(0).is_valid())
+            at, ids_ = np.asarray(batch.column(0).fill_null(0)), np.unique(bucket)
+            for b in ids_.tolist():
+                mine = at[(bucket == b) & known]
+                best[b] = max([x for x in (best.get(b), int(mine.max()) if len(mine) else None) if x is not None], default=None)
+        yield pa.RecordBatch.from_arrays([pa.array([*best], pa.int32()), pa.array([*best.values()], pa.int64())], names=["bucket", "top"])
+
+    first = {r[0]: r[1] for r in ids.mapInArrow(tops, "bucket int, top long").groupBy("bucket").agg(F.max("top")).collect()}
     full = sorted(first)
-    after = {}
+    after: dict[int | None, list[int]] = {}
     for here, following in zip(full, [*full[1:], *full[:1]], strict=True):
         after.setdefault(first[following], []).append(here)
-    also = F.lit(None).cast("array<int>")
-    if known := {k: v for k, v in after.items() if k is not None}:
-        also = F.element_at(F.create_map(*[x for k, v in known.items() for x in (F.lit(k).cast("long"), F.array(*map(F.lit, v)))]), F.col("doc_id"))
-    if None in after:
-        also = F.when(F.col("doc_id").isNull(), F.array(*map(F.lit, after[None]))).otherwise(also)
-    rows = docs.select("doc_id", "text", bucket.alias("own"), F.coalesce(also, F.array().cast("array<int>")).alias("also"))
-    places = F.concat(F.array(F.struct(F.col("own").alias("bucket"), F.lit(0).alias("extra"))), F.transform("also", lambda b: F.struct(b.alias("bucket"), F.lit(1).alias("extra"))))
-    dealt = rows.withColumn("at", F.explode(places)).select("doc_id", "text", "at.bucket", "at.extra").repartitionById(len(cuts) + 1, F.col("bucket"))
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, names = np.array([k for k in after if k is not None], np.int64), ["doc_id", "text", "bucket", "extra"]
+        for batch in batches:
+            column = batch.column(0)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(bucket_of(column).astype(np.int32)), pa.array(np.zeros(len(column), np.int32))], names=names)
+            also = np.isin(np.asarray(column.fill_null(0)), known) & np.asarray(column.is_valid()) | (np.asarray(column.is_null()) if None in after else False)
+            for i in np.flatnonzero(also).tolist():
+                for b in after[column[i].as_py()]:
+                    yield pa.RecordBatch.from_arrays([*batch.slice(i, 1).columns, pa.array([b], pa.int32()), pa.array([1], pa.int32())], names=names)
+
+    dealt = docs.select("doc_id", "text").mapInArrow(deal, "doc_id long, text string, bucket int, extra int").repartitionById(len(cuts) + 1, F.col("bucket"))
     return dealt.sortWithinPartitions("bucket", "extra", F.desc_nulls_last("doc_id"), "text")
 
 

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from rivulet.llm.common import documents, id_cuts, partitions, place_among, shared_path, written
+from rivulet.llm.common import discard, documents, id_cuts, partitions, places, shared_path, written
 from rivulet.llm.tokens import VOCAB, encoder, forget, tokenizer_path
 
 END = 2
@@ -134,12 +134,12 @@ def write(docs: DataFrame, folder: str, path: str | None = None, end: int = END)
     Codes are made before the shuffle, which so moves fewer bytes; repeated ids are tied by them.
     """
     path, spark = path or tokenizer_path(), docs.sparkSession
-    tokens = tokenized(docs, path, end)
-    ids = by_frequency(token_counts(tokens))
-    tokens = tokens.where("ids IS NOT NULL").select("doc_id", "ids")
+    stored = tokenized(docs, path, end)
+    ids = by_frequency(token_counts(stored))
+    tokens = stored.where("ids IS NOT NULL").select("doc_id", "ids")
     rank = np.zeros(VOCAB, np.uint32)
     rank[ids] = np.arange(VOCAB, dtype=np.uint32)
-    cuts = id_cuts(docs.select("doc_id"), 4 * partitions(spark))
+    cuts = np.array(id_cuts(docs.select("doc_id"), 4 * partitions(spark)), np.int64)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forget()
@@ -148,13 +148,15 @@ def write(docs: DataFrame, folder: str, path: str | None = None, end: int = END)
                 own, ends = joined(some.column(1))
                 n = np.diff(ends, prepend=0) // 2
                 control, data, control_ends, data_ends = pack(rank[own.view("<u2")], n)
-                yield pa.RecordBatch.from_arrays([some.column(0), pa.array(n), binaries(control, control_ends), binaries(data, data_ends)], names=["doc_id", "n_tokens", "control", "data"])
+                part = pa.array(places(cuts, some.column(0)))
+                yield pa.RecordBatch.from_arrays([part, some.column(0), pa.array(n), binaries(control, control_ends), binaries(data, data_ends)], names=["part", "doc_id", "n_tokens", "control", "data"])
 
-    codes = tokens.mapInArrow(encode, "doc_id long, n_tokens long, control binary, data binary").withColumn("part", place_among(cuts))
+    codes = tokens.mapInArrow(encode, "part int, doc_id long, n_tokens long, control binary, data binary")
     before = Window.partitionBy("part").orderBy("doc_id", "n_tokens", "data", "control").rowsBetween(Window.unboundedPreceding, -1)
     placed = codes.repartition(partitions(spark), "part").withColumn("at", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)))
     placed.select("part", "doc_id", "at", "n_tokens", "control", "data").write.parquet(f"{folder}/tokens")
     spark.createDataFrame([(int(r), int(i)) for r, i in enumerate(ids)], "rank int, id int").coalesce(1).write.parquet(f"{folder}/ranks")
+    discard(stored)
 
 
 def read(spark: SparkSession, folder: str) -> DataFrame:
