@@ -3,6 +3,7 @@ import re
 import corpus
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from rivulet.llm import quality
 
@@ -34,8 +35,6 @@ def test_query_against_brute_force_and_sql(spark, tmp_path):
 
 
 def test_overlapping_repeats(spark):
-    from pyspark.sql import functions as F
-
     for text in ("a " * 30, "a b c d e f a b c d e g a b c d e", "a b c d e a b c d e f g h i a b c d", "x y z " * 7):
         df = spark.createDataFrame([(text,)], "text string").select(quality.n_repeat_words(quality.words(F.col("text"))))
         assert df.first()[0] == brute(text)[4]
@@ -58,6 +57,32 @@ def test_measured_order(spark):
     assert order[0].name == "few_words" and len(order) == 6
 
 
+def test_the_order_is_steady(spark):
+    docs = corpus.documents(spark, [(i, "short text" if i % 2 else corpus.words(300, i) + (" # $" * 20 if i % 8 == 0 else "")) for i in range(200)])
+    orders = {tuple(r.name for r in quality.cascade_order(docs, quality.RULES + quality.MORE_RULES)[:2]) for _ in range(5)}
+    assert len(orders) == 1
+
+
+def test_the_sample_is_bounded_and_reads_few_files(spark, tmp_path):
+    """Whatever the ids: here all are null or equal."""
+    corpus.documents(spark, [(None if i % 2 else 5, f"text {i} " + corpus.words(5, i)) for i in range(3000)], 20).write.parquet(f"{tmp_path}/many")
+    docs = spark.read.parquet(f"{tmp_path}/many").select("doc_id", "text")
+    some = quality.sample(docs, 100)
+    assert 0 < some.count() <= 100
+    assert len(some.inputFiles()) == quality.SAMPLE_FILES or "file_path" in some._jdf.queryExecution().optimizedPlan().toString()
+    scan = docs.where(F.col("_metadata.file_path").isin(sorted(docs.inputFiles())[:8])).select("text")
+    assert scan.rdd.getNumPartitions() <= 8
+    plain = corpus.documents(spark, [(None, f"t {i}") for i in range(500)])
+    assert 0 < quality.sample(plain, 100).count() <= 100
+
+
+def test_what_base_rules_reject_is_not_put_to_others(spark, monkeypatch, tmp_path):
+    fails = quality.Rule("fails", lambda text, ws: F.raise_error(F.lit("asked")).cast("boolean"))
+    monkeypatch.setattr(quality, "cascade_order", lambda d, r: [fails])
+    folder = corpus.written_tables(spark, tmp_path, [(1, "few words"), (2, None), (3, "a b c d e " * 9)])
+    assert [r["kept"] for r in quality.query(spark, folder).collect()] == [False] * 3
+
+
 def test_empty_table(spark):
     assert quality.keep(corpus.empty(spark)).count() == 0
 
