@@ -2,15 +2,19 @@
 
 A softmax classifier is trained in numpy on a bounded sample of labelled documents (the
 LABELLED with the smallest hash of their id) and gives every document its posteriors over the
-domains. Each document d of t_d tokens (words) and posteriors p_d then gets a rate x_d >= 0, so
-that the expected totals, sum of x_d t_d p_d, match the targets by least squares, rates staying
-near 1 otherwise:
+domains, from its distinct words, without case and marks, and the beginnings of these words. Each
+document d of t_d tokens (words) and posteriors p_d then gets a rate x_d >= 0, so that the
+expected totals, sum of x_d t_d p_d, match the targets by least squares, rates staying near 1
+otherwise:
 
     1/2 sum over domains (sum x_d t_d p_d - target)^2 / (M size) + 1/2 sum (t_d / M) (p_d ridge) (x_d - 1)^2.
 
 A domain's size is its tokens at rate 1, or its target where that is more, so that a domain
-counts by its relative error, however rare it is. The ridge of a domain is RIDGE, but 0 for
-one whose target is 0, so that nothing holds its sure members back from rate 0.
+counts by its relative error, however rare it is. The ridge is small and only breaks ties
+between documents; it is 0 for a domain whose target is 0, so that nothing holds its sure members
+back from rate 0. Rates only scale what the posteriors say, so the totals that can be reached are
+the cone of all p_d: a share of 0, or one below what each document has, is out of reach, and the
+fit comes as near as it can. outcome() tells the expected shares beside the targets.
 
 Projected gradient steps with momentum, in the inner product weighted by t_d / M, need only the
 residual, a number for each domain, which each step sums over all documents; the rates are
@@ -18,42 +22,47 @@ functions of the residuals so far and are worked out anew in each task, so no st
 documents is kept or sent.
 
 Null and empty texts have no tokens and the posteriors of the intercepts. Rows with equal
-doc_id are judged each for itself; labels of a doc_id in more than one row count as toxic if any
-is, of quality if all are. Without labelled documents the posteriors are equal, and an empty
-table gives no rows. Other columns pass through apply_rates() untouched.
+doc_id are judged each for itself (the one of the least text hash stands for a labelled id);
+labels of a doc_id in more than one row count as toxic if any is, of quality if all are. Without
+labelled documents the posteriors are equal, and an empty table gives no rows. Other columns
+pass through apply_rates() untouched.
 """
 
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from rivulet.llm.common import documents, written
+from rivulet.llm.common import discard, documents, free, written
 
 DOMAINS = ("clean", "low", "toxic")
 #: Shares of the tokens that the mix is to have.
 WEIGHTS = {"clean": 0.95, "low": 0.05, "toxic": 0.0}
 LABELLED = 3000
-SIGNIFICANT, STRONGEST = 6.0, 4
-BUCKETS = 1 << 14
+SIGNIFICANT, STRONGEST = 6.0, 8
+BUCKETS = 1 << 16
+BEGINNINGS = (4, 6)
 RIDGE = 0.005
 STEPS, TOLERANCE = 80, 1e-5
 MARKS = b"#*$%&|<>!"
+EDGES = b".,!?:;\"'()[]{}*#$%&|<>"
 N_DENSE = 5
 
 
 def features(text: str | None) -> tuple[np.ndarray, list[float], int]:
-    """Buckets of the distinct words without case and marks, dense measures, number of words."""
+    """Buckets of the distinct words without case and marks and of their first BEGINNINGS bytes, dense measures, number of words."""
     raw = (text or "").encode()
     ws = raw.split()
     n = len(ws)
-    distinct = {w.strip(b".,!?:;\"'()") for w in raw.lower().split()}
-    buckets = np.unique(np.fromiter((zlib.crc32(w) % BUCKETS for w in distinct), np.int64, len(distinct)))
+    distinct = {w.strip(EDGES) for w in raw.lower().split()}
+    terms = distinct.union(*({w[:k] + b"-" for w in distinct if len(w) > k} for k in BEGINNINGS)) - {b""}
+    buckets = np.unique(np.fromiter((zlib.crc32(w) % BUCKETS for w in terms), np.int64, len(terms)))
     upper = len(raw) - len(raw.translate(None, b"ABCDEFGHIJKLMNOPQRSTUVWXYZ"))
     marks = len(raw) - len(raw.translate(None, MARKS))
     m = max(n, 1)
@@ -116,11 +125,13 @@ def train(docs: DataFrame, labels: DataFrame, n: int = LABELLED) -> Classifier:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             got = [features(x.as_py()) for x in batch.column(2)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([g[0] for g in got], pa.list_(pa.int64())), pa.array([g[1] for g in got], pa.list_(pa.float64()))], names=["doc_id", "domain", "buckets", "dense"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([g[0].astype("<i4").tobytes() for g in got], pa.binary()), pa.array([g[1] for g in got], pa.list_(pa.float64()))], names=["doc_id", "domain", "buckets", "dense"])
 
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "domain", "text").mapInArrow(run, "doc_id long, domain int, buckets array<long>, dense array<double>")
-    found = sorted(rows.collect(), key=lambda r: (r["doc_id"], r["buckets"]))  # n documents, less any labelled one that is not there
-    return Classifier.train([(r["domain"], np.array(r["buckets"], np.int64), r["dense"]) for r in found])
+    # one row for each chosen id, however many rows have it: n rows at most reach the driver
+    mine = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    one = mine.groupBy("doc_id", "domain").agg(F.min(F.struct(F.xxhash64("text").alias("by"), "text")).alias("least")).select("doc_id", "domain", "least.text")
+    found = sorted(one.mapInArrow(run, "doc_id long, domain int, buckets binary, dense array<double>").collect(), key=lambda r: r["doc_id"])
+    return Classifier.train([(r["domain"], np.frombuffer(r["buckets"], "<i4").astype(np.int64), r["dense"]) for r in found])
 
 
 def memberships(docs: DataFrame, model: Classifier) -> DataFrame:
@@ -153,43 +164,58 @@ def columns(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
     return get("n_tokens"), np.stack([get(d) for d in DOMAINS], 1)
 
 
-def ridges(weights: dict[str, float], ridge: float) -> np.ndarray:
+def ridges(weights: dict[str, float], ridge: float = RIDGE) -> np.ndarray:
     """The ridge of each domain: none where the target is 0."""
     return np.array([ridge if weights.get(d, 0.0) else 0.0 for d in DOMAINS])
 
 
-def solve(members: DataFrame, weights: dict[str, float], budget: str | None = "clean", ridge: float | np.ndarray = RIDGE, relative: bool = False) -> list[np.ndarray]:
-    """The residuals of all steps. budget: the domain whose tokens at rate 1 set the size of the mix; None: all tokens as they are. relative: residuals by each domain's size, else by the size of all."""
-    share = np.array([weights.get(d, 0.0) for d in DOMAINS])
-    share = share / share.sum()
+def totals(members: DataFrame, rates: Callable[[np.ndarray], np.ndarray]) -> np.ndarray:
+    """The expected tokens of each domain at rates(posteriors)."""
     kind = ", ".join(f"{d} double" for d in DOMAINS)
 
-    def totals(history: list[np.ndarray]) -> np.ndarray:
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            out = np.zeros(len(DOMAINS))
-            for batch in batches:
-                t, p = columns(batch)
-                out += (replayed(p, history, ridge)[1] * t) @ p
-            yield pa.RecordBatch.from_arrays([pa.array([v]) for v in out], names=[*DOMAINS])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = np.zeros(len(DOMAINS))
+        for batch in batches:
+            t, p = columns(batch)
+            out += (rates(p) * t) @ p
+        yield pa.RecordBatch.from_arrays([pa.array([v]) for v in out], names=[*DOMAINS])
 
-        got = members.mapInArrow(run, kind).agg(*[F.sum(d) for d in DOMAINS]).first()
-        return np.array([v or 0.0 for v in got])
+    got = members.mapInArrow(run, kind).agg(*[F.sum(d) for d in DOMAINS]).first()
+    return np.array([v or 0.0 for v in got])
 
-    own = totals([])
+
+def wanted_totals(own: np.ndarray, weights: dict[str, float], budget: str | None) -> np.ndarray:
+    """The targets. budget: the domain whose tokens at rate 1 set the size of the mix; None: all tokens as they are."""
+    share = np.array([weights.get(d, 0.0) for d in DOMAINS])
+    share = share / share.sum()
+    at = DOMAINS.index(budget) if budget else None
+    return share * (own.sum() if at is None or not share[at] else own[at] / share[at])
+
+
+def solve(members: DataFrame, weights: dict[str, float], budget: str | None = "clean", ridge: float | np.ndarray = RIDGE, relative: bool = False) -> list[np.ndarray]:
+    """The residuals of all steps. relative: residuals by each domain's size, else by the size of all."""
+    own = totals(members, lambda p: np.ones(len(p)))
     m = own.sum()
     if not m:
         return []
-    at = DOMAINS.index(budget) if budget else None
-    target = share * (m if at is None or not share[at] else own[at] / share[at])
+    target = wanted_totals(own, weights, budget)
     size = np.maximum(np.maximum(own, target), np.finfo(float).tiny) if relative else m
     history = [(own - target) / size]
     while len(history) < STEPS:
-        history.append((totals(history) - target) / size)
+        history.append((totals(members, lambda p: replayed(p, history, ridge)[1]) - target) / size)
         if np.abs(history[-1] - history[-2]).max() < TOLERANCE:
             break
     return history
 
 
+def outcome(members: DataFrame, weights: dict[str, float], history: list[np.ndarray], budget: str | None = "clean", ridge: float | np.ndarray = RIDGE) -> dict[str, tuple[float, float]]:
+    """The target and the expected share of the tokens of each domain at the fitted rates. They differ where the targets are out of reach."""
+    target = wanted_totals(totals(members, lambda p: np.ones(len(p))), weights, budget)
+    got = totals(members, lambda p: replayed(p, history, ridge)[0])
+    share = lambda x: (x / max(x.sum(), np.finfo(float).tiny)).tolist()
+    return dict(zip(DOMAINS, zip(share(target), share(got), strict=True), strict=True))
+
+
 def copies(rate: Column) -> Column:
     """The rate, rounded up or down by a hash of doc_id, whole in the mean."""
     unit = (F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(1 << 30)) + 0.5) / (1 << 30)
@@ -212,32 +238,29 @@ def mix(docs: DataFrame, labels: DataFrame, weights: dict[str, float] | None = N
     """doc_id, n_tokens, posteriors, rate and copies of every document."""
     members = written(memberships(docs, train(docs, labels)), "members")
     wanted = weights or WEIGHTS
-    ridge = ridges(wanted, RIDGE)
+    ridge = ridges(wanted)
     return rated(members, solve(members, wanted, budget, ridge, True), ridge)
 
 
-def apply_rates(docs: DataFrame, labels: DataFrame, weights: dict[str, float] | None = None, ridge: float = RIDGE) -> DataFrame:
-    """docs' own rows, each as often as `copies` says. Texts go through the classifier where they lie and are not shuffled.
-
-    A larger ridge keeps rates nearer to 1 and the mix farther from the weights.
-    """
+def apply_rates(docs: DataFrame, labels: DataFrame, weights: dict[str, float] | None = None) -> DataFrame:
+    """docs' own rows, each as often as `copies` says. Texts go through the classifier where they lie and are not shuffled."""
     model = train(docs, labels)
     wanted = weights or WEIGHTS
-    held = ridges(wanted, ridge)
-    history = solve(written(memberships(docs, model).drop("doc_id"), "members"), wanted, ridge=held, relative=True)
-    at, kinds = docs.columns.index("text"), docs.schema
+    held = ridges(wanted)
+    members = written(memberships(docs, model).drop("doc_id"), "members")
+    history = solve(members, wanted, ridge=held, relative=True)
+    discard(members)
+    at, rate = docs.columns.index("text"), free("__rate", docs.columns)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             got = [features(x.as_py()) for x in batch.column(at)]
             p = np.array([model.posteriors(g[0], g[1]) for g in got]).reshape(-1, len(DOMAINS))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(replayed(p, history, held)[0])], names=[*batch.schema.names, "mixing rate"])
-
-    from pyspark.sql import types as T
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(replayed(p, history, held)[0])], names=[*batch.schema.names, rate])
 
-    rows = docs.mapInArrow(run, T.StructType([*kinds.fields, T.StructField("mixing rate", T.DoubleType())]))
-    again = copies(F.col("mixing rate")).cast("int")
-    return rows.withColumn("mixing rate", F.explode(F.array_repeat(F.lit(1.0), again))).select(*docs.columns)
+    rows = docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(rate, T.DoubleType())]))
+    again = copies(F.col(rate)).cast("int")
+    return rows.withColumn(rate, F.explode(F.array_repeat(F.lit(1.0), again))).select(*docs.columns)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

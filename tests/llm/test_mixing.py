@@ -49,6 +49,34 @@ def test_rates_solve_the_least_squares_problem(spark):
     assert np.abs(x - y).max() < 1e-2 and (x >= 0).all()
 
 
+@pytest.mark.parametrize(("weights", "reached"), [({"clean": 0.88, "low": 0.07, "toxic": 0.05}, True), ({"clean": 0.8, "low": 0.15, "toxic": 0.05}, True), ({"clean": 0.0, "low": 0.0, "toxic": 1.0}, False), (mixing.WEIGHTS, False)])
+def test_expected_shares_are_the_targets_where_these_can_be_reached(spark, weights, reached):
+    """On a whole table: within half a point, or outcome() tells how far off. With few labels no document is surely not toxic, so a share of 0 is out of reach."""
+    d = "/root/testdata/sf0.01"
+    docs, labels = mixing.documents(spark, d), spark.read.parquet(f"{d}/labels.parquet")
+    members = mixing.written(mixing.memberships(docs, mixing.train(docs, labels)), "members")
+    held = mixing.ridges(weights)
+    budget = "clean" if weights["clean"] else None
+    got = mixing.outcome(members, weights, mixing.solve(members, weights, budget, held, True), budget, held)
+    off = {k: abs(target - share) for k, (target, share) in got.items()}
+    assert all(abs(got[k][0] - weights[k]) < 1e-9 for k in weights)
+    assert (max(off.values()) < 0.005) == reached
+    least = np.array(members.agg(*[F.min(F.col(k)) for k in mixing.DOMAINS]).first(), float)
+    assert all(got[k][1] >= x - 1e-9 for k, x in zip(mixing.DOMAINS, least, strict=True))
+
+
+def test_a_labelled_id_of_many_rows_sends_one(spark):
+    docs = spark.range(4000).select(F.lit(7).cast("long").alias("doc_id"), F.concat(F.lit("text "), F.col("id") % 3).alias("text"))
+    seen = []
+    train = mixing.Classifier.train
+    try:
+        mixing.Classifier.train = classmethod(lambda cls, rows, **kw: (seen.append(len(rows)), train(rows, **kw))[1])
+        mixing.train(docs, spark.createDataFrame([(7, 1, 0)], "doc_id long, quality int, toxic int"))
+    finally:
+        mixing.Classifier.train = train
+    assert seen == [1]
+
+
 def test_apply_rates(spark):
     texts, labels = labelled(120)
     docs = corpus.documents(spark, [*texts, (None, None), (500, ""), (1, texts[1][1])])
