@@ -7,15 +7,19 @@
    link needs, plus one); with rare ones first, passages that many documents share don't bring
    their documents together. The counts that tell the order come from all documents, in a table
    of 2^20 buckets; their accuracy changes the cost alone.
-3. A set belongs to tiles: one for each of these first shingles and, within them, its size band
-   (sizes of a link lie in the same or the next band). The places of a shared shingle in both
-   orders bound the overlap, and then the sets' bitmaps do: each bit that one set has and the
-   other lacks is at least one element that they don't share. Only pairs that the bounds let
-   through have their sorted arrays intersected, which decides.
-4. Links that join nothing new are not looked for: in the first rounds, sets are held against one
-   member of their tiles; the last takes all pairs of all tiles whose two sets are in different
-   classes still. So a large group of near copies costs a few pairs for each member and
-   not all pairs, and no link between different classes is lost.
+3. A tile is one of these first shingles and a size band. A set belongs to the tiles of its own
+   band and of the next one, as sizes of a link lie in the same or the next band. Within a tile,
+   the places of the shared shingle in both orders bound the overlap, and then the sets' bitmaps
+   do: each bit that one set has and the other lacks is at least one element that they don't
+   share. Only pairs that the bounds let through have their sorted arrays intersected, which
+   decides.
+4. Links that join nothing new are not looked for. The first round holds each set against one
+   member of its tiles; the last takes all pairs of all tiles whose two sets are in different
+   classes still. So a large group of near copies costs a few pairs for each member and not all
+   pairs, and no link between different classes is lost.
+5. No task takes a whole large tile. In the first round its members are dealt over parts, in the
+   last its largest class and all others are cut into blocks of about BLOCK members, and each
+   pair of blocks is a unit of work of its own.
 
 Texts without words (null, empty) have no shingles and are linked with nothing. Texts with fewer
 words than a shingle have one, their whole sequence. Rows with equal doc_id share a class; rows
@@ -33,89 +37,52 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from rivulet.llm.common import documents, partitions, small_batches, written
-from rivulet.llm.fingerprints import mix
+from rivulet.llm.common import discard, documents, free, partitions, small_batches, written
 from rivulet.llm.tokens import forget
-from rivulet.session import shared_path
+from rivulet.llm.words import Words, mix
 
-BUCKET_BITS, BLOCK = 20, 1 << 14
-LAST, ROUNDS, LARGE, BEFORE = 4, 1, 32, 256
+BUCKET_BITS, COUNTS = 20, 1 << 14
+CENTRES, BEST, PART, BLOCK = 32, 4, 4096, 512
 FILTER_BITS = 23
-BITS = 2048
+LEAST_WORDS, MOST_WORDS = 16, 1024
 SLICE = 1 << 19
-SIGNATURE = "doc_id long, n int, h1 long, h2 long, first array<long>, ones int, bits array<long>"
+PAIRS = 1 << 18
+SIGNATURE = "doc_id long, n int, h1 long, h2 long, first array<long>, bits binary"
 
 _draw = np.random.Generator(np.random.PCG64(20240607))
-#: A random number for each byte, A-Z as a-z; words part at the bytes of SPACE.
-BYTE = _draw.integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-BYTE[65:91] = BYTE[97:123]
-SPACE = np.zeros(256, bool)
-SPACE[[9, 10, 11, 12, 13, 32]] = True
-BASE, INVERSE = np.uint64(0x9E3779B97F4A7C15), np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
-
-
-def powers(base: np.uint64, n: int) -> np.ndarray:
-    out = np.full(n, base, np.uint64)
-    out[0] = 1
-    return np.multiply.accumulate(out)
+#: Two random odd numbers for each place in a shingle.
+PLACE = _draw.integers(0, 1 << 63, (2, 64), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 class Shingler:
-    """Hashes of all k-word shingles of some texts at once.
-
-    A word's hash is the sum of its bytes' numbers times powers of BASE, taken from running sums
-    over all bytes and divided by the power at the word's start; then mixed.
-    """
+    """Hashes of all k-word shingles of some texts at once, from the hashes of their words."""
 
     def __init__(self, k: int):
-        self.k, self.up, self.down = k, powers(BASE, 1 << 16), powers(INVERSE, 1 << 16)
-
-    def _powers(self, n: int) -> None:
-        if n > len(self.up):
-            size = 1 << (n - 1).bit_length()
-            self.up, self.down = powers(BASE, size), powers(INVERSE, size)
+        self.k, self.words = k, Words()
 
     def __call__(self, data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """data: the texts' bytes, one after another; ends: where each ends. The hashes, and where each text's end."""
-        n = len(data)
-        self._powers(n + 1)
-        space = SPACE[data]
-        # a word starts after a space or at a text's start, and ends before a space or at a text's end
-        starts_here = ~space
-        starts_here[1:] &= space[:-1]
-        ends_here = ~space
-        ends_here[:-1] &= space[1:]
-        inner = ends[:-1][(ends[:-1] > 0) & (ends[:-1] < n)]
-        starts_here[inner] |= ~space[inner]
-        ends_here[inner - 1] |= ~space[inner - 1]
-        start, end = np.flatnonzero(starts_here), np.flatnonzero(ends_here) + 1
-        running = np.zeros(n + 1, np.uint64)
-        np.cumsum(BYTE[data] * self.up[:n], out=running[1:])
-        words = mix((running[end] - running[start]) * self.down[start])
-        last_word = np.searchsorted(start, ends, side="left")
+        words, last_word = self.words(data, ends)
         n_words = np.diff(last_word, prepend=0)
         k, m = self.k, len(words)
+        grams = np.zeros(max(m - k + 1, 0), np.uint64)
         if m >= k:
-            grams = np.zeros(m - k + 1, np.uint64)
             for j in range(k):
-                grams += mix(words[j : m - k + 1 + j] + BYTE[j]) * BYTE[255 - j]
+                grams += mix(words[j : m - k + 1 + j] + PLACE[0, j]) * PLACE[1, j]
             grams = mix(grams)
-        else:
-            grams = np.zeros(0, np.uint64)
-        n_grams = np.where(n_words >= k, n_words - k + 1, (n_words > 0).astype(np.int64))
-        first = last_word - n_words
         long = n_words >= k
+        n_grams = np.where(long, n_words - k + 1, (n_words > 0).astype(np.int64))
+        first = last_word - n_words
         out_ends = np.cumsum(n_grams)
         out = np.zeros(int(out_ends[-1]) if len(out_ends) else 0, np.uint64)
         counts = n_grams[long]
         if len(counts):
-            source = np.repeat(first[long] - np.cumsum(counts) + counts, counts) + np.arange(int(counts.sum()))
-            target = np.repeat((out_ends - n_grams)[long] - np.cumsum(counts) + counts, counts) + np.arange(int(counts.sum()))
-            out[target] = grams[source]
+            within = np.arange(int(counts.sum())) - np.repeat(np.cumsum(counts) - counts, counts)
+            out[np.repeat((out_ends - n_grams)[long], counts) + within] = grams[np.repeat(first[long], counts) + within]
         for i in np.flatnonzero((n_words > 0) & ~long):  # shorter than a shingle: the whole sequence
-            own = words[first[i] : first[i] + n_words[i]]
-            out[out_ends[i] - 1] = mix(np.array([(own * powers(BASE, len(own) + 1)[1:]).sum() + np.uint64(len(own))], np.uint64))[0]
+            out[out_ends[i] - 1] = xxhash.xxh3_64_intdigest(words[first[i] : last_word[i]].tobytes())
         return out, out_ends
 
 
@@ -166,7 +133,7 @@ def commonness(docs: DataFrame, k: int) -> np.ndarray:
                 if n >= 1 << BUCKET_BITS:
                     counted()
         counted()
-        blocks = np.minimum(counts, 65535).astype("<u2").reshape(-1, BLOCK)
+        blocks = np.minimum(counts, 65535).astype("<u2").reshape(-1, COUNTS)
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(blocks)), pa.int32()), pa.array([b.tobytes() for b in blocks], pa.binary())], names=["block", "counts"])
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -177,11 +144,11 @@ def commonness(docs: DataFrame, k: int) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array([*sums], pa.int32()), pa.array([b.tobytes() for b in sums.values()], pa.binary())], names=["block", "counts"])
 
     kind = "block int, counts binary"
-    n = min(partitions(docs.sparkSession), (1 << BUCKET_BITS) // BLOCK)
+    n = min(partitions(docs.sparkSession), (1 << BUCKET_BITS) // COUNTS)
     summed = docs.select("text").mapInArrow(count, kind).repartition(n, "block").mapInArrow(add, kind)
     blocks = {block: np.frombuffer(x, "<u4") for block, x in summed.collect()}
     usual = max(sum(int(x.sum()) for x in blocks.values()) / (1 << BUCKET_BITS), 1.0)
-    out = np.zeros(((1 << BUCKET_BITS) // BLOCK, BLOCK), np.uint8)
+    out = np.zeros(((1 << BUCKET_BITS) // COUNTS, COUNTS), np.uint8)
     for block, x in blocks.items():
         high = 192 + 4 * np.log2(np.maximum(x / (4 * usual), 1))
         out[block] = np.where(x < 4 * usual, 48 * x / usual, np.minimum(high, 255))
@@ -193,208 +160,450 @@ def needed(n: int, percent: int) -> int:
     return -(-percent * n // 100)
 
 
+def bitmap(s: np.ndarray) -> np.ndarray:
+    """The words of a set's bitmap: a power of two of them, about two bits for each member. Half as many are the two halves laid over each other."""
+    words = min(max(LEAST_WORDS, 1 << max(2 * len(s) // 64, 1).bit_length() - 1), MOST_WORDS)
+    marks = np.zeros(64 * words, bool)
+    marks[(s >> np.uint64(20)) & np.uint64(64 * words - 1)] = True
+    return np.packbits(marks).view(np.uint64)
+
+
 def signatures(docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """The size, a 128-bit hash, the first shingles in order and the bitmap of each document's set."""
+    """The size, a 128-bit hash, the first shingles in order and the bitmap of each document's set, written."""
     common = docs.sparkSession.sparkContext.broadcast(commonness(docs, k).tobytes())  # 2^20 bytes
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         classes, shingler = np.frombuffer(common.value, np.uint8), Shingler(k)
         names = [x.split()[0] for x in SIGNATURE.split(", ")]
         for batch in batches:
-            sizes, hashes, first, ones, bits = [], [], [], [], []
+            sizes, hashes, first, bits = [], [], [], []
             for s in gram_sets(batch.column(1), shingler):
                 n = len(s)
                 h = xxhash.xxh3_128_intdigest(s.tobytes())
                 sizes.append(n)
                 hashes.append((h >> 64, h & (1 << 64) - 1))
-                marks = np.zeros(BITS, bool)
-                marks[(s >> np.uint64(20)) % np.uint64(BITS)] = True
-                ones.append(int(marks.sum()))
-                bits.append(np.packbits(marks).view(np.int64))
+                bits.append(bitmap(s).tobytes())
                 prefix = n - needed(n, percent) + 1 if n else 0
                 rank = classes[(s >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)]
                 order = np.argsort(rank, kind="stable")[:prefix]
                 first.append(s[order].view(np.int64))
             halves = np.array(hashes, np.uint64).reshape(-1, 2).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int32()), pa.array(halves[:, 0]), pa.array(halves[:, 1]), pa.array(first, pa.list_(pa.int64())), pa.array(ones, pa.int32()), pa.array(bits, pa.list_(pa.int64()))], names=names)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int32()), pa.array(halves[:, 0]), pa.array(halves[:, 1]), pa.array(first, pa.list_(pa.int64())), pa.array(bits, pa.binary())], names=names)
 
-    return docs.select("doc_id", "text").mapInArrow(run, SIGNATURE)
+    out = written(docs.select("doc_id", "text").mapInArrow(run, SIGNATURE), "signatures")
+    common.unpersist()
+    return out
 
 
 def among(rows: DataFrame, wanted: DataFrame) -> DataFrame:
-    """The rows whose v is wanted. A bitmap of 2^FILTER_BITS hashes of the wanted ones drops most others before the shuffle; the join decides."""
+    """The rows whose v is wanted and, beyond some ten millions of them, more and more others: a bitmap of 2^FILTER_BITS hashes of the wanted ones lets them through where they lie."""
     place = F.pmod(F.xxhash64("v"), F.lit(1 << FILTER_BITS))
     # Spark's bitmaps count blocks of 2^15 bits, and places, from 1
     marks = wanted.select((place + 1).alias("p")).groupBy(F.bitmap_bucket_number("p").alias("block")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("bits"))
     table = np.zeros((1 << (FILTER_BITS - 15), 4096), np.uint8)
     for block, bits in marks.collect():
         table[block - 1] = np.frombuffer(bits, np.uint8)
-    held = rows.sparkSession.sparkContext.broadcast(table.tobytes())  # 2^20 bytes
+    held = table.tobytes()  # 2^20 bytes
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = np.frombuffer(held.value, np.uint8)
+        seen = np.frombuffer(held, np.uint8)
         for batch in batches:
             at = np.asarray(batch.column(batch.num_columns - 1))
             yield batch.filter(pa.array((seen[at >> 3] >> (at & 7) & 1).astype(bool))).select([*range(batch.num_columns - 1)])
 
     kind = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields)
-    return rows.withColumn("__place", place).mapInArrow(run, kind).join(wanted, "v", "left_semi")
+    return rows.withColumn("__place", place).mapInArrow(run, kind)
 
 
 def gram_arrays(texts: DataFrame, k: int) -> DataFrame:
-    """v and the sorted array of its shingle hashes; texts without any are left out."""
+    """v and the bytes of the sorted array of its shingle hashes; texts without any are left out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler(k)
         for batch in batches:
-            sets = [s.view(np.int64) for s in gram_sets(batch.column(1), shingler)]
-            out = pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["v", "grams"])
+            sets = [s.tobytes() for s in gram_sets(batch.column(1), shingler)]
+            out = pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], names=["v", "grams"])
             yield out.filter(pa.array([len(s) > 0 for s in sets], pa.bool_()))
 
-    return texts.select("v", "text").mapInArrow(run, "v long, grams array<long>")
-
+    return texts.select("v", "text").mapInArrow(run, "v long, grams binary")
 
-def size_ok(n: Column, m: Column, percent: int) -> Column:
-    return 100 * F.least(n, m) >= percent * F.greatest(n, m)
 
+def overlap(x: np.ndarray, y: np.ndarray) -> int:
+    """How many members two sorted arrays without repeats share: the shorter one's are sought in the longer."""
+    if len(x) > len(y):
+        x, y = y, x
+    at = np.searchsorted(y, x)
+    at[at == len(y)] = 0
+    return int(np.count_nonzero(y[at] == x))
 
-def bits_ok(x: str, y: str, percent: int) -> Column:
-    """Whether two sides' bitmaps, of columns n, ones and bits, allow the overlap that a link of their sizes needs."""
-    n, m = F.col(f"{x}.n"), F.col(f"{y}.n")
-    common = sum((F.bit_count(F.get(f"{x}.bits", F.lit(i)).bitwiseAND(F.get(f"{y}.bits", F.lit(i)))) for i in range(BITS // 64)), F.lit(0))
-    most = common + F.least(n - F.col(f"{x}.ones"), m - F.col(f"{y}.ones"))
-    return size_ok(n, m, percent) & ((100 + percent) * most >= percent * (n + m))
 
+def linked(pairs: DataFrame, arrays: DataFrame, percent: int) -> DataFrame:
+    """The pairs whose sorted arrays intersect in enough members."""
 
-def bitmap_ok(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose bitmaps allow a link."""
-    both = pairs.join(sets.alias("x"), F.col("a") == F.col("x.v")).join(sets.alias("y"), F.col("b") == F.col("y.v"))
-    return both.where(bits_ok("x", "y", percent)).select("a", "b")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ok = []
+            for x, y in zip(batch.column(2), batch.column(3), strict=True):
+                s, t = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
+                common = overlap(s, t)
+                ok.append(100 * common >= percent * (len(s) + len(t) - common))
+            yield batch.select([0, 1]).filter(pa.array(ok, pa.bool_()))
+
+    side = lambda v, x: arrays.select(F.col("v").alias(v), F.col("grams").alias(x)).hint("merge")
+    both = pairs.join(side("a", "x"), "a").join(side("b", "y"), "b")
+    return both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
-def linked(pairs: DataFrame, arrays: DataFrame, percent: int) -> DataFrame:
-    """The pairs whose arrays intersect in enough elements: row by row in the JVM, as a batch of pairs of long arrays has no bound in bytes."""
-    side = lambda v, x: arrays.select(F.col("v").alias(v), F.col("grams").alias(x))
-    both = pairs.join(side("a", "x"), "a").join(side("b", "y"), "b")
-    common = F.size(F.array_intersect("x", "y"))
-    return both.where(100 * common >= percent * (F.size("x") + F.size("y") - common)).select("a", "b")
+def labelled(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct vertices of some edges and the least vertex of the component that each is in."""
+    nodes, at = np.unique(np.concatenate((u, v)), return_inverse=True)
+    a, b = at[: len(u)], at[len(u) :]
+    label = np.arange(len(nodes))
+    while True:
+        x, y = label[a], label[b]
+        low = np.minimum(x, y)
+        if np.array_equal(x, y):
+            return nodes, nodes[label]
+        np.minimum.at(label, x, low)
+        np.minimum.at(label, y, low)
+        while not np.array_equal(label, hop := label[label]):
+            label = hop
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(v, component) for each end of an edge: the least vertex of its component, by alternating large-star and small-star steps (Kiveris et al. 2014).
+    """(v, component) for each end of an edge: the least vertex of its component.
 
-    Each step is two aggregations and joins; edges are written after each round, and nothing
-    but a count and a checksum reaches the driver.
+    Each vertex u keeps edges to lesser ones. In a round, the edges are dealt out by u, each task
+    finds the components of its part and leaves every vertex one edge, to the least of its
+    component there; vertices that belong to other parts take theirs on to the next round. When
+    none do, each vertex has one parent, and parents are followed, doubling the way each time.
+    Each round is one exchange and is written; only counts reach the driver.
     """
     spark = edges.sparkSession
+    n = partitions(spark)
+
+    def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts = [(np.asarray(b.column(0)), np.asarray(b.column(1))) for b in batches]
+        if not parts:
+            return
+        u, v = (np.concatenate([p[i] for p in parts]) for i in (0, 1))
+        nodes, root = labelled(u, v)
+        keep = nodes != root
+        own = np.isin(nodes[keep], u)
+        yield pa.RecordBatch.from_arrays([pa.array(nodes[keep]), pa.array(root[keep]), pa.array(~own)], names=["u", "v", "away"])
+
+    state = edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
+    stored: DataFrame | None = None
+
+    def kept(df: DataFrame) -> DataFrame:
+        """df, written; what it was made from is deleted."""
+        nonlocal stored
+        out = written(df, "edges")
+        if stored is not None:
+            discard(stored)
+        stored = out
+        return out
 
-    def stored(df: DataFrame) -> tuple[DataFrame, dict]:
+    while True:
         seen = Observation()
-        path = shared_path(spark, "edges")
-        state = F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("state")
-        df.observe(seen, F.count(F.lit(1)).alias("n"), state).write.parquet(path)
-        return spark.read.schema("u long, v long").parquet(path), seen.get
-
-    edges, before = stored(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
+        out = state.repartition(n, "u").mapInArrow(merged, "u long, v long, away boolean")
+        state = kept(out.observe(seen, F.count_if("away").alias("away")).drop("away"))
+        if not seen.get["away"]:
+            break
     while True:
-        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        moved = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        edges, after = stored(moved.unionByName(low.select("u", F.col("m").alias("v"))).distinct())
-        if after == before:
-            return edges.select(F.col("u").alias("v"), F.col("v").alias("component")).unionByName(edges.select("v", F.col("v").alias("component")).distinct())
-        before = after
+        step = written(state.select(F.col("v").alias("p")).distinct().join(state.select(F.col("u").alias("p"), F.col("v").alias("up")), "p"), "parents")
+        if step.isEmpty():
+            discard(step)
+            return state.select(F.col("u").alias("v"), F.col("v").alias("component")).unionByName(state.select("v", F.col("v").alias("component")).distinct())
+        state = kept(state.join(step, state["v"] == step["p"], "left").select("u", F.coalesce("up", "v").alias("v")))
+        discard(step)
+
+
+def band(percent: int) -> Column:
+    return F.floor(F.log("n") / (1.0001 * math.log(100 / percent))).cast("int")
+
+
+class Bitmaps:
+    """A column of bitmaps of several widths."""
+
+    def __init__(self, column: pa.Array | pa.ChunkedArray):
+        each = column.to_pylist()
+        self.width = np.array([len(x) // 8 for x in each], np.int64)
+        self.start = np.cumsum(self.width) - self.width
+        self.flat = np.frombuffer(b"".join(each), np.uint64)
+
+    def at(self, rows: np.ndarray, width: int) -> np.ndarray:
+        """The rows' bitmaps, laid over themselves down to a width."""
+        out = np.empty((len(rows), width), np.uint64)
+        own = self.width[rows]
+        for w in np.unique(own).tolist():
+            some = np.flatnonzero(own == w)
+            words = self.flat[self.start[rows[some]][:, None] + np.arange(w)]
+            out[some] = np.bitwise_or.reduce(words.reshape(len(some), w // width, width), axis=1)
+        return out
+
+    def most(self, i: np.ndarray, other: Bitmaps, j: np.ndarray, n: np.ndarray, m: np.ndarray) -> np.ndarray:
+        """A bound from above of the overlaps of sets of n and m: the bits that both have, and the members that share a bit with another of their set."""
+        out = np.empty(len(i), np.int64)
+        narrow = np.minimum(self.width[i], other.width[j])
+        for w in np.unique(narrow).tolist():
+            for some in np.array_split(np.flatnonzero(narrow == w), max(1, len(i) * w >> 22)):
+                x, y = self.at(i[some], w), other.at(j[some], w)
+                ones = lambda b: np.bitwise_count(b).sum(axis=1, dtype=np.int64)
+                out[some] = ones(x & y) + np.minimum(n[some] - ones(x), m[some] - ones(y))
+        return out
+
+
+def numbers(table: pa.Table, but: tuple[str, ...] = ()) -> dict[str, np.ndarray]:
+    return {c: table.column(c).to_numpy() for c in table.column_names if c not in but}
+
+
+def likeliest(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Of pairs (a, b), for each a the BEST ones by the bound that their bitmaps give, of those that it lets through; in order of ids."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            g, every = numbers(pa.Table.from_batches([batch]), ("x", "y")), np.arange(batch.num_rows)
+            n, m = g["n"].astype(np.int64), g["m"].astype(np.int64)
+            most = Bitmaps(batch.column("x")).most(every, Bitmaps(batch.column("y")), every, n, m)
+            out = pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(most / np.maximum(n + m, 1))], names=["a", "b", "share"])
+            yield out.filter(pa.array((100 + percent) * most >= percent * (n + m)))
+
+    side = lambda v, n, bits: sets.select(F.col("v").alias(v), F.col("n").alias(n), F.col("bits").alias(bits)).hint("shuffle_hash")
+    both = pairs.join(side("b", "m", "y"), "b").join(side("a", "n", "x"), "a")
+    judged = both.select("a", "b", "n", "m", "x", "y").mapInArrow(run, "a long, b long, share double")
+    best = judged.withColumn("place", F.row_number().over(Window.partitionBy("a").orderBy(F.desc("share"), "b"))).where(F.col("place") <= BEST)
+    return best.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+
+
+def in_units(keys: list[str], made):
+    """What mapInArrow runs on rows in order of their unit's keys: made(table) on whole units, several at once; a unit may lie in many batches."""
+
+    def start_of_last(batch: pa.RecordBatch) -> int:
+        same = np.ones(batch.num_rows, bool)
+        for c in keys:
+            x = batch.column(batch.schema.get_field_index(c)).to_numpy(zero_copy_only=False)
+            same &= x == x[-1]
+        return int(np.argmax(same))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []  # the unit that the batch before ended in
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            if cut := start_of_last(batch):
+                yield from made(pa.Table.from_batches([*held, batch.slice(0, cut)]))
+                held = []
+            held.append(batch.slice(cut))
+        if held:
+            yield from made(pa.Table.from_batches(held))
+
+    return run
+
+
+def starts(g: dict[str, np.ndarray], keys: list[str]) -> np.ndarray:
+    """Which rows begin a unit."""
+    new = np.zeros(len(g[keys[0]]), bool)
+    new[0] = True
+    for c in keys:
+        new[1:] |= g[c][1:] != g[c][:-1]
+    return new
+
+
+def of_sizes(g: dict[str, np.ndarray], i: np.ndarray, j: np.ndarray, percent: int) -> np.ndarray:
+    """Pairs of different sets whose sizes allow a link, at least one of them of the tile's own band: the band below has a tile for itself."""
+    n, m = g["n"][i].astype(np.int64), g["n"][j].astype(np.int64)
+    return (g["v"][i] != g["v"][j]) & ~(g["below"][i] & g["below"][j]) & (100 * np.minimum(n, m) >= percent * np.maximum(n, m))
 
 
-def placed(tiles: DataFrame, known: DataFrame | None) -> DataFrame:
-    """tiles with the class c that each set is in so far, without the tiles of one class alone."""
-    own = tiles.withColumn("c", F.col("v")) if known is None else tiles.join(known, "v", "left").withColumn("c", F.coalesce("component", "v")).drop("component")
-    mixed = own.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("key")
-    return own.join(mixed, "key", "left_semi")
+def distinct_rows(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+    found = np.unique(np.stack((a, b), 1), axis=0)
+    return pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], names=["a", "b"])
 
 
-def star(tiles: DataFrame, seed: int) -> DataFrame:
-    """Pairs of each set and the member of its tile that a hash picks, where their classes differ."""
-    picked = tiles.groupBy("key").agg(F.min(F.struct(F.xxhash64("key", "v", F.lit(seed)).alias("by"), F.col("v").alias("centre"), F.col("c").alias("its"))).alias("p"))
-    return tiles.join(picked, "key").where(F.col("c") != F.col("p.its")).select(F.col("v").alias("a"), F.col("p.centre").alias("b"))
+def banded(rows: DataFrame, percent: int) -> DataFrame:
+    """Each row in its own size band and, as one from below, in the next."""
+    both = F.array(F.struct(F.lit(0).alias("up"), F.lit(False).alias("below")), F.struct(F.lit(1).alias("up"), F.lit(True).alias("below")))
+    out = rows.withColumn("__at", F.explode(both))
+    return out.withColumns({"band": band(percent) + F.col("__at.up"), "below": F.col("__at.below")}).drop("__at")
 
 
-def pairs_apart(tiles: DataFrame, bitmaps: DataFrame, firsts: DataFrame, percent: int) -> DataFrame:
-    """All pairs of all tiles whose classes differ and whose sizes and places in the order allow a link.
+def star_pairs(tiles: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Each set with the BEST ones, by their bitmaps, of the centres of its tiles, where sizes and bitmaps allow a link.
 
-    In tiles of more than LARGE members, which could make very many pairs, the members carry
-    their bitmaps, so that a pair is held against them where it arises, and their shingles before
-    the tile's (if they are not more than BEFORE), so that it arises at the first that they share.
+    A tile's centre is its least member by one of CENTRES hashes, which the tile's shingle
+    chooses, so that near copies meet the same few centres in all of their tiles. Tiles of more
+    than PART members are dealt over parts that each have their own.
     """
-    band = F.floor(F.log("n") / (1.0001 * math.log(100 / percent))).cast("int")
-
-    def within(rows: DataFrame, full: bool) -> DataFrame:
-        x = rows.withColumn("size_band", band).alias("x")
-        y = rows.withColumn("size_band", F.explode(F.array(band - 1, band, band + 1))).alias("y")
-        n, m = F.col("x.n"), F.col("y.n")
-        rest = 1 + F.least(n - F.col("x.pos") - 1, m - F.col("y.pos") - 1)
-        same = (F.col("x.key") == F.col("y.key")) & (F.col("x.size_band") == F.col("y.size_band"))
-        ok = size_ok(n, m, percent) & ((100 + percent) * rest >= percent * (n + m))
-        if full:
-            ok = ok & bits_ok("x", "y", percent) & ~F.coalesce(F.arrays_overlap("x.before", "y.before"), F.lit(False))
-        return x.join(y, same & (F.col("x.c") < F.col("y.c")) & ok).select(F.col("x.v").alias("a"), F.col("y.v").alias("b"))
-
-    large = tiles.groupBy("key").agg(F.count("*").alias("members")).where(F.col("members") > LARGE).select("key")
-    few = within(tiles.join(large, "key", "left_anti"), False)
-    before = F.when(F.col("pos") <= BEFORE, F.slice("first", 1, F.col("pos")))
-    many = within(tiles.join(large, "key", "left_semi").join(bitmaps.drop("n"), "v").join(firsts, "v").withColumn("before", before).drop("first"), True)
-    return few.unionByName(many)
+    keys = ["key", "band", "part"]
+
+    def made(table: pa.Table) -> Iterator[pa.RecordBatch]:
+        g = numbers(table)
+        new = starts(g, keys)
+        start = np.flatnonzero(new)
+        i, j = np.flatnonzero(~new), np.repeat(start, np.diff(start, append=len(new)))[~new]
+        ok = of_sizes(g, i, j, percent)
+        yield distinct_rows(g["v"][i[ok]], g["v"][j[ok]])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first, unit = None, None  # the first row of the unit that the batch before ended in: all that later rows need
+        for batch in batches:
+            if batch.num_rows:
+                g = numbers(pa.Table.from_batches([batch]))
+                yield from made(pa.Table.from_batches([first, batch] if unit == tuple(g[c][0] for c in keys) else [batch]))
+                if unit != (last := tuple(g[c][-1] for c in keys)):
+                    first, unit = batch.slice(int(np.flatnonzero(starts(g, keys))[-1]), 1), last
+
+    part = F.pmod(F.xxhash64("v", "key"), F.ceil(F.col("members") / PART)).cast("int")
+    by = F.xxhash64("v", F.pmod("key", F.lit(CENTRES)))
+    rows = banded(tiles.select("key", "v", "n", part.alias("part")), percent)
+    dealt = rows.repartition(partitions(tiles.sparkSession), *keys).sortWithinPartitions(*keys, by, "v")
+    pairs = dealt.select(*keys, "v", "n", "below").mapInArrow(run, "a long, b long").distinct()
+    return likeliest(pairs, sets, percent)
+
+
+def pairs_apart(tiles: DataFrame, sets: DataFrame, known: DataFrame | None, percent: int) -> DataFrame:
+    """All pairs of all tiles whose classes differ and whose bounds allow a link. known: (v, component); None: each set is a class.
+
+    A tile's largest class and its other members are cut into blocks; a unit is a block of the
+    class with a block of the others, or two blocks of the others.
+    """
+    own = tiles.withColumn("c", F.col("v")) if known is None else tiles.join(known.hint("shuffle_hash"), "v", "left").withColumn("c", F.coalesce("component", "v")).drop("component")
+    own = written(banded(own.drop("members"), percent), "open")
+    count = own.groupBy("key", "band", "c").agg(F.count("*").alias("of_c"), F.max(~F.col("below")).alias("here"))
+    sizes = count.groupBy("key", "band").agg(F.max(F.struct("of_c", "c")).alias("most"), F.sum("of_c").alias("members"), F.count("*").alias("kinds"), F.max("here").alias("here")).where("kinds > 1 and here")
+    rows = own.join(sizes.drop("here").hint("shuffle_hash"), ["key", "band"]).join(sets.select("v", "n", "bits").hint("shuffle_hash"), ["v", "n"])
+
+    others = F.col("members") - F.col("most.of_c")
+    blocks = lambda m: F.ceil(m / BLOCK).cast("int")
+    large, small = blocks(F.col("most.of_c")), blocks(others)
+    mine = lambda n: F.pmod(F.xxhash64("v", "n", "bits"), n).cast("int")
+    unit = lambda kind, i, j, side, within: F.struct(F.lit(kind).alias("kind"), i.alias("i"), j.alias("j"), side.alias("side"), within.alias("within"))
+    zero, yes, no = F.lit(0), F.lit(True), F.lit(False)
+    each = lambda n, f: F.transform(F.sequence(zero, n - 1), f)
+    in_class = each(small, lambda o: unit(0, mine(large), o, zero, no))
+    across = each(large, lambda d: unit(0, d, mine(small), F.lit(1), no))
+    inside = each(small, lambda o: unit(1, F.least(o, mine(small)), F.greatest(o, mine(small)), (o < mine(small)).cast("int"), o == mine(small)))
+    whole = F.array(unit(2, zero, zero, zero, yes))
+    units = F.when(F.col("members") <= BLOCK, whole).when(F.col("c") == F.col("most.c"), in_class).when(F.col("kinds") > 2, F.concat(across, inside)).otherwise(across)
+    keys = ["key", "band", "kind", "i", "j"]
+
+    def all_pairs(after: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Each row with each of the `after` next ones, about PAIRS at once."""
+        sums = np.concatenate(([0], np.cumsum(after)))
+        at = 0
+        while at < len(after):
+            to = max(at + 1, int(np.searchsorted(sums, sums[at] + PAIRS, side="right")) - 1)
+            i = np.repeat(np.arange(at, to), after[at:to])
+            yield i, i + 1 + np.arange(len(i)) - np.repeat(sums[at:to] - sums[at], after[at:to])
+            at = to
+
+    def made(table: pa.Table) -> Iterator[pa.RecordBatch]:
+        g, bits = numbers(table, ("bits",)), Bitmaps(table.column("bits"))
+        start = np.flatnonzero(starts(g, keys))
+        size = np.diff(start, append=table.num_rows)
+        for i, j in all_pairs(np.repeat(start + size, size) - np.arange(table.num_rows) - 1):
+            ok = (g["c"][i] != g["c"][j]) & (g["within"][i] | (g["side"][i] != g["side"][j]))
+            i, j = i[ok], j[ok]
+            ok = of_sizes(g, i, j, percent)
+            i, j = i[ok], j[ok]
+            n, m = g["n"][i].astype(np.int64), g["n"][j].astype(np.int64)
+            # if this shingle is the first that both have, they share no more than what follows it; at an earlier one they are a pair already
+            rest = 1 + np.minimum(n - g["pos"][i] - 1, m - g["pos"][j] - 1)
+            ok = (100 + percent) * rest >= percent * (n + m)
+            i, j, n, m = i[ok], j[ok], n[ok], m[ok]
+            ok = (100 + percent) * bits.most(i, bits, j, n, m) >= percent * (n + m)
+            x, y = g["v"][i[ok]], g["v"][j[ok]]
+            yield distinct_rows(np.maximum(x, y), np.minimum(x, y))
+
+    cut = rows.withColumn("__unit", F.explode(units)).select("key", "band", "__unit.*", "v", "n", "pos", "below", "bits", "c")
+    dealt = cut.repartition(partitions(tiles.sparkSession), *keys).sortWithinPartitions(*keys)
+    return dealt.mapInArrow(in_units(keys, made), "a long, b long").distinct()
+
+
+class Join:
+    """What both rounds of a join share: the documents' signatures, the distinct sets and their tiles, all written."""
+
+    def __init__(self, docs: DataFrame, k: int, percent: int):
+        self.k, self.percent = k, percent
+        self.signed = signatures(docs, k, percent)
+        usable = self.signed.where("n > 0 and doc_id is not null")
+        one = [F.first(c).alias(c) for c in ("n", "first", "bits")]
+        self.sets = written(usable.groupBy("h1", "h2").agg(F.min("doc_id").alias("v"), *one), "sets")
+        rows = self.sets.select("v", "n", F.posexplode("first").alias("pos", "key"))
+        busy = rows.groupBy("key").agg(F.count("*").alias("members")).where("members > 1")
+        self.tiles = written(rows.join(busy.hint("shuffle_hash"), "key").select("key", "pos", "v", "n", "members"), "tiles")
+        self.texts = docs.select(F.col("doc_id").alias("v"), "text").where("v is not null")
+
+    def links(self, pairs: DataFrame) -> DataFrame:
+        """Those of the pairs that are linked, written."""
+        likely = written(pairs, "likely")
+        arrays = written(gram_arrays(among(self.texts, likely.select(F.explode(F.array("a", "b")).alias("v"))), self.k), "arrays")
+        out = written(linked(likely, arrays, self.percent), "links")
+        discard(likely, arrays)
+        return out
+
+
+def links(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
+    """(a, b): all links between different sets, each set under the smallest doc_id that has it. There are as many rows as links, so a large group of near copies gives very many."""
+    with small_batches(docs.sparkSession):
+        join = Join(docs, k, percent)
+        return join.links(pairs_apart(join.tiles, join.sets, None, percent)).distinct()
 
 
 def classes(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles and component_id, the smallest doc_id that links of `percent` or more lead to."""
     with small_batches(docs.sparkSession):
-        return _classes(docs, k, percent)
-
-
-def _classes(docs: DataFrame, k: int, percent: int) -> DataFrame:
-    signed = written(signatures(docs, k, percent), "signatures")
-    wide = signed.where("n > 0 and doc_id is not null")
-    sets = written(wide.groupBy("h1", "h2").agg(F.min("doc_id").alias("v"), F.first("n").alias("n"), F.first("first").alias("first")), "sets")
-
-    rows = sets.select("v", "n", F.posexplode("first").alias("pos", "key"))
-    busy = rows.groupBy("key").agg(F.count("*").alias("members")).where("members > 1").select("key")
-    tiles = written(rows.join(busy, "key", "left_semi").select("key", "pos", "v", "n"), "tiles")
-
-    texts = docs.select(F.col("doc_id").alias("v"), "text").where("v is not null")
-    small = written(wide.select(F.col("doc_id").alias("v"), "n", "ones", "bits").join(tiles.select("v").distinct(), "v", "left_semi"), "bitmaps")
-
-    def links(pairs: DataFrame) -> DataFrame:
-        ordered = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        likely = written(bitmap_ok(ordered, small, percent), "likely")
-        wanted = written(likely.select(F.col("a").alias("v")).union(likely.select("b")).distinct(), "wanted")
-        return written(linked(likely, written(gram_arrays(among(texts, wanted), k), "arrays"), percent), "links")
-
-    # the last of a set's first shingles are its commonest, which near copies of it have too
-    last = F.col("pos") > F.col("n") - F.ceil(F.col("n") * percent / 100) - LAST
-    open_ = placed(tiles, None)
-    found = links(star(open_.where(last), 0))
-    for number in range(1, ROUNDS):
-        open_ = written(placed(open_.select(*tiles.columns), components(found)), "open")
-        found = found.unionByName(links(star(open_, number)))
-    open_ = written(placed(open_.select(*tiles.columns), components(found)), "open")
-    final = components(found.unionByName(links(pairs_apart(open_, small, sets.select("v", "first"), percent))))
-
-    by_set = sets.select("h1", "h2", "v").join(final, "v", "left").select("h1", "h2", F.coalesce("component", "v").alias("c"))
+        join = Join(docs, k, percent)
+        near = join.links(star_pairs(join.tiles, join.sets, percent))
+        far = join.links(pairs_apart(join.tiles, join.sets, components(near), percent))
+        final = components(near.unionByName(far))
+        discard(join.tiles, near, far)
+    by_set = join.sets.select("h1", "h2", "v").join(final.hint("shuffle_hash"), "v", "left").select("h1", "h2", F.coalesce("component", "v").alias("c"))
     own = F.when(F.col("doc_id").isNull(), None).otherwise(F.coalesce("c", "doc_id"))
-    return signed.select("doc_id", "n", "h1", "h2").join(by_set, ["h1", "h2"], "left").select("doc_id", F.col("n").cast("long").alias("n_shingles"), own.alias("component_id"))
+    found = join.signed.select("doc_id", "n", "h1", "h2").join(by_set.hint("shuffle_hash"), ["h1", "h2"], "left")
+    return found.select("doc_id", F.col("n").cast("long").alias("n_shingles"), own.alias("component_id"))
 
 
 def one_of_each(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """docs' rows without those of a class' documents but the one of the smallest doc_id; its repeated rows stay once. Rows with null doc_id stay."""
-    found = classes(docs, k, percent)
-    gone = found.where("component_id <> doc_id").select("doc_id").distinct()
-    rest = docs.join(gone, "doc_id", "left_anti")
-    return rest.where("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(rest.where("doc_id is null")).select(*docs.columns)
+    """docs' rows, one of each class: that of the smallest doc_id.
+
+    Repeated rows (equal doc_id, equal words) stay once; rows that share a doc_id alone all stay
+    or go with their class. Rows with null doc_id are judged under an id above all others, made
+    of their text, so that of a class another row stays, if there is one.
+    """
+    own, seen, high = free("__id", docs.columns), free("__seen", docs.columns), F.lit(1 << 62)
+    made = F.coalesce("doc_id", high + F.pmod(F.xxhash64(F.coalesce("text", F.lit(""))), high))
+    ids = docs.select(made.alias("doc_id"), "text")
+    gone = written(classes(ids, k, percent).where("component_id <> doc_id").select(F.col("doc_id").alias(own)).distinct(), "gone")
+    again = written(ids.groupBy("doc_id").agg(F.count("*").alias("rows")).where("rows > 1").select(F.col("doc_id").alias(own)), "again")
+    rows = docs.withColumn(own, made)
+    if again.isEmpty():
+        return rows.join(gone, own, "left_anti").select(*docs.columns)
+    rest = rows.join(gone.unionByName(again).distinct(), own, "left_anti")
+    repeated = rows.join(again, own, "left_semi").join(gone, own, "left_anti")
+    words = F.filter(F.split(F.lower(F.coalesce("text", F.lit(""))), r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    once = repeated.withColumn(seen, F.xxhash64(F.array_join(words, " "))).dropDuplicates([own, seen])
+    return rest.select(*docs.columns).unionByName(once.select(*docs.columns))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """op3: classes of documents that share 85 percent of their four-word shingles."""
     return classes(documents(spark, sf_dir), 4, 85)
+
+
+SQL = r"""
+WITH RECURSIVE d AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents),
+s AS (SELECT doc_id, list_distinct(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 4 THEN [array_to_string(ws, ' ')] ELSE
+        list_transform(range(1, len(ws) - 2), lambda i: array_to_string(ws[i:i+3], ' ')) END) AS grams FROM d),
+n AS (SELECT doc_id, len(grams) AS n FROM s),
+g AS (SELECT doc_id, unnest(grams) AS gram FROM s),
+f AS (SELECT gram, count(*) AS df FROM g GROUP BY 1),
+o AS (SELECT g.doc_id, g.gram, row_number() OVER (PARTITION BY g.doc_id ORDER BY f.df, g.gram) AS pos FROM g JOIN f USING (gram)),
+p AS (SELECT o.doc_id, o.gram, n.n FROM o JOIN n USING (doc_id) WHERE o.pos <= n.n - (85 * n.n + 99) // 100 + 1),
+c AS (SELECT DISTINCT x.doc_id AS a, y.doc_id AS b, x.n AS m, y.n AS n FROM p x JOIN p y ON x.gram = y.gram AND x.doc_id < y.doc_id WHERE 100 * least(x.n, y.n) >= 85 * greatest(x.n, y.n)),
+l AS (SELECT a, b FROM c JOIN s x ON x.doc_id = a JOIN s y ON y.doc_id = b WHERE 185 * len(list_intersect(x.grams, y.grams)) >= 85 * (m + n)),
+e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a)
+SELECT n.doc_id, CAST(n.n AS BIGINT) AS n_shingles, min(r.b) AS component_id FROM n JOIN r ON r.a = n.doc_id GROUP BY 1, 2
+"""

@@ -16,4 +16,4 @@ QUERIES = {
     "op9_token_file": tokenfile.query,
     "op10_packing": packing.query,
 }
-ORACLE_SQL = {"op1_quality_rules": quality.SQL, "op2_chat_format": chat.SQL}
+ORACLE_SQL = {"op1_quality_rules": quality.SQL, "op2_chat_format": chat.SQL, "op3_ngram_join": neardup.SQL}
