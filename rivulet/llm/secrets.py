@@ -12,9 +12,9 @@ alphabet, and three tests measure how far it is from uniform random numbers ther
   square root of n; 0 for random numbers;
 * serial correlation at lag 1; 0 for random numbers.
 
-What language gives is fitted, not assumed: each document gives one window of its own text
-without candidates, white space and punctuation, at a place and of a length that a hash
-chooses; over all of them the three tests' mean and covariance are summed for each encoding (for all
+What language gives is fitted, not assumed: the whole of every document's own text without
+candidates, white space and punctuation is cut into windows of the lengths in BANDS; over all
+of them the three tests' mean and covariance are summed for each encoding (for all
 together where an encoding has fewer than ENOUGH). The tests depend on each other, so they are
 combined by that covariance: the projection on the direction that tells language from random
 numbers best (Fisher's discriminant), which is standard normal for language. Its upper tail is
@@ -31,12 +31,13 @@ empty result. Spans count code points, ends exclusive.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rivulet.llm.common import documents, free, let
+from rivulet.llm.common import documents, free, let, total
 
 #: Kind, pattern, group that has a least length, that length; in the order of kinds.
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -54,11 +55,13 @@ ENCODINGS = (
     ("base64", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"),
     ("base64url", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789-_"),
 )
+LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/-_="
 BANDS = (20, 24, 32, 48, 64, 128)
 FDR = 0.001
 MOST = 60.0
 ENOUGH = 200
 TESTS = ("c", "r", "s")
+Columns = dict[str, Column]
 
 
 def spans(text: Column, pattern: str, kind: str, order: int, group: int = 0, least: int = 0) -> Column:
@@ -85,72 +88,112 @@ def base_spans(text: Column) -> Column:
     return F.concat(*parts)
 
 
-def encoding(run: Column) -> Column:
-    """The number of the smallest alphabet that has all characters of the run but closing `=`."""
-    plain = F.rtrim(run, F.lit("="))
+def encoding(plain: Column) -> Column:
+    """The number of the smallest alphabet that has all characters of a run without its closing `=`."""
     out = F.lit(len(ENCODINGS) - 1)
     for i, (_, alphabet) in reversed([*enumerate(ENCODINGS)]):
-        out = F.when(F.length(F.translate(plain, alphabet, "")) == 0, F.lit(i)).otherwise(out)
+        out = F.when(plain.rlike("\\A[" + alphabet.replace("-", "\\-") + "]*+\\z"), F.lit(i)).otherwise(out)
     return out
 
 
-def measured(run: Column) -> Column:
-    """The encoding e, the number n of characters and the tests c, r and s; null for fewer than two characters."""
+def halves(plain: Column, e: Column) -> Column:
+    """1 for each character in the upper half of the alphabet, else 0."""
+    out = F.lit(None).cast("string")
+    for i, (_, alphabet) in enumerate(ENCODINGS):
+        half, others = len(alphabet) // 2, "".join(c for c in LETTERS if c not in alphabet)
+        out = F.when(e == i, F.translate(plain, alphabet + others, "0" * half + "1" * half + "0" * len(others))).otherwise(out)
+    return out
 
-    def of_values(v: Column, e: Column, size: Column) -> Column:
-        n = F.size(v).cast("double")
 
-        def coincidence(s: Column) -> Column:
-            # each number of a run of equals makes a pair with those before it
-            pairs = F.aggregate(s, F.struct(F.lit(-1).alias("x"), F.lit(0.0).alias("k"), F.lit(0.0).alias("q")), lambda c, x: let(
-                F.when(c["x"] == x, c["k"] + 1).otherwise(F.lit(0.0)), lambda k: F.struct(x.alias("x"), k.alias("k"), (c["q"] + k).alias("q"))), lambda c: c["q"])
-            return 2 * pairs / (n * (n - 1))
+def squares(plain: Column) -> Column:
+    """The sum of the squares of the characters' counts."""
+    equal = F.regexp_extract_all(F.array_join(F.sort_array(F.split(plain, "")), ""), F.lit(r"(.)\1*+"), F.lit(0))
+    return F.aggregate(equal, F.lit(0.0), lambda a, x: a + F.pow(F.length(x), F.lit(2)))
 
-        def runs(high: Column) -> Column:
-            some = F.aggregate(high, F.lit(0.0), lambda a, x: a + x.cast("double"))
-            changes = F.aggregate(F.zip_with(F.slice(high, 1, F.size(high) - 1), F.slice(high, 2, F.size(high) - 1), lambda x, y: (x != y).cast("double")), F.lit(0.0), lambda a, x: a + x)
-            found = let(F.struct(some.alias("m"), changes.alias("k")), lambda t: let(2 * t["m"] * (n - t["m"]) / n, lambda mean: F.when(
-                (mean > 1) & (n > 2), (t["k"] - mean) / F.sqrt(mean * (mean - 1) / (n - 1)) / F.sqrt(n))))
-            return F.coalesce(found, F.lit(-1.0))
 
-        def serial(mean: Column) -> Column:
-            var = F.aggregate(v, F.lit(0.0), lambda a, x: a + (x - mean) * (x - mean))
-            near = F.aggregate(F.zip_with(F.slice(v, 1, F.size(v) - 1), F.slice(v, 2, F.size(v) - 1), lambda x, y: (x - mean) * (y - mean)), F.lit(0.0), lambda a, x: a + x)
-            return let(var, lambda d: F.when(d > 0, near / d).otherwise(F.lit(1.0)))
+def products(plain: Column, e: Column) -> Column:
+    """Of the numbers x: the sums of x, x x and of x and the next one's product, and the first and last one's sum."""
+    none = F.lit(0).cast("long")
+    # a literal for each encoding, by code points
+    numbers = F.array(*[F.split(F.lit(",".join(str(alphabet.find(chr(c)) + 1) for c in range(128))), ",").cast("array<bigint>") for _, alphabet in ENCODINGS])
 
-        mean = F.aggregate(v, F.lit(0.0), lambda a, x: a + x) / n
-        half = F.transform(v, lambda x: x > size / 2)
-        return F.struct(e.alias("e"), n.alias("n"), let(F.sort_array(v), coincidence).alias("c"), let(half, runs).alias("r"), let(mean, serial).alias("s"))
+    def sums(v: Column) -> Column:
+        next_to = F.zip_with(F.slice(v, F.lit(1), F.size(v) - 1), F.slice(v, F.lit(2), F.size(v) - 1), lambda x, y: x * y)
+        parts = {"x": total(v), "xx": F.aggregate(v, none, lambda a, x: a + x * x), "xy": total(next_to), "ends": F.get(v, F.lit(0)) + F.element_at(v, -1)}
+        return F.struct(*[c.cast("double").alias(k) for k, c in parts.items()])
 
-    def of_run(run: Column) -> Column:
-        plain = F.rtrim(run, F.lit("="))
-        values = lambda alphabet: F.transform(F.filter(F.split(plain, ""), lambda c: c != ""), lambda c: F.instr(alphabet, c))
-        return let(encoding(run), lambda e: let(F.get(alphabets, e), lambda alphabet: let(
-            values(alphabet), lambda v: F.when(F.size(v) > 1, of_values(v, e, F.length(alphabet))))))
+    return let(F.get(numbers, e), lambda number: let(F.transform(F.split(plain, ""), lambda c: F.get(number, F.ascii(c))), sums))
 
-    alphabets = F.array(*[F.lit(x) for _, x in ENCODINGS])
-    return let(run, of_run)
 
+def coincidence(x: Columns) -> Column:
+    return (x["squares"] - x["n"]) / (x["n"] * (x["n"] - 1))
 
-def windows(docs: DataFrame) -> DataFrame:
-    """One window of each document's text, without candidates, white space, punctuation and letters that no encoding has; null where that leaves less than was wanted."""
-    lengths = F.array(*map(F.lit, BANDS))
 
-    def window(text: Column) -> Column:
-        def of_hash(h: Column) -> Column:
-            def of_size(size: Column) -> Column:
-                # more than is wanted, less the words that its ends cut, candidates, and what no encoding has
-                some = 3 * size + 40
-                at = F.pmod(F.shiftright(h, 8), F.greatest(F.length(text) - some, F.lit(0)) + 1) + 1
-                raw = F.regexp_replace(F.substring(text, at.cast("int"), some), r"^\S+|\S+$", "")
-                plain = F.regexp_replace(F.regexp_replace(raw, CANDIDATE, ""), "[^A-Za-z0-9+/_=-]+", "")
-                return let(F.substring(plain, F.lit(1), size), lambda x: F.when(F.length(x) == size, x))
+def wald_wolfowitz(x: Columns) -> Column:
+    some = (x["mean"] > 1) & (x["n"] > 2)
+    found = F.when(some, (x["changes"] - x["mean"]) / F.sqrt(x["mean"] * (x["mean"] - 1) / (x["n"] - 1)) / F.sqrt(x["n"]))
+    return F.coalesce(found, F.lit(-1.0))
+
 
-            return let(F.get(lengths, F.pmod(h, F.lit(len(BANDS))).cast("int")), of_size)
+def serial(x: Columns) -> Column:
+    n, s = x["n"], x["sums"]
+    near = n * s["xy"] - s["x"] * (2 * s["x"] - s["ends"]) + (n - 1) * s["x"] * s["x"] / n
+    return F.when(x["spread"] > 0, near / x["spread"]).otherwise(F.lit(1.0))
 
-        return let(F.xxhash64(text), of_hash)
 
-    return docs.select(let(F.coalesce("text", F.lit("")), window).alias("run"))
+#: How the tests come from a run, in steps: columns from those before them. Those after the first two steps need n > 1.
+STEPS: tuple[dict[str, Callable[[Columns], Column]], ...] = (
+    {"plain": lambda x: F.rtrim(x["run"], F.lit("="))},
+    {"n": lambda x: F.length(x["plain"]).cast("double")},
+    {"e": lambda x: encoding(x["plain"]), "squares": lambda x: squares(x["plain"])},
+    {"bits": lambda x: halves(x["plain"], x["e"]), "sums": lambda x: products(x["plain"], x["e"])},
+    {
+        "high": lambda x: x["n"] - F.length(F.replace(x["bits"], F.lit("1"), F.lit(""))),
+        "changes": lambda x: x["n"] - sum((F.length(F.replace(x["bits"], F.lit(b), F.lit(""))) for b in ("01", "10")), F.lit(0)) / 2,
+        "spread": lambda x: x["n"] * x["sums"]["xx"] - x["sums"]["x"] * x["sums"]["x"],
+    },
+    {"mean": lambda x: 2 * x["high"] * (x["n"] - x["high"]) / x["n"]},
+    {"c": coincidence, "r": wald_wolfowitz, "s": serial},
+)
+
+
+def measured(run: Column) -> Column:
+    """The encoding e, the number n of characters and the tests c, r and s; null for fewer than two characters."""
+
+    def after(x: Columns, i: int) -> Column:
+        if i == len(STEPS):
+            return F.struct(*[x[k].alias(k) for k in ("e", "n", *TESTS)])
+        step = F.struct(*[f(x).alias(k) for k, f in STEPS[i].items()])
+        out = let(step, lambda t: after(x | {k: t[k] for k in STEPS[i]}, i + 1))
+        return F.when(x["n"] > 1, out) if i == 2 else out
+
+    return let(run, lambda r: after({"run": r}, 0))
+
+
+def measured_rows(rows: DataFrame) -> DataFrame:
+    """e, n, c, r and s, as measured() has them, after the columns of rows, which have a `run`; without rows of fewer than two characters."""
+    own = rows.columns
+    for i, step in enumerate(STEPS):
+        rows = rows.select("*", *[f({c: F.col(c) for c in rows.columns}).alias(k) for k, f in step.items()])
+        rows = rows.where("n > 1") if i == 1 else rows
+    return rows.select(*own, "e", "n", *TESTS)
+
+
+def windows(docs: DataFrame) -> DataFrame:
+    """All ordinary text of every document, in windows: what candidates, white space, punctuation and letters that no encoding has leave.
+
+    Blocks have a window of each length in BANDS; what remains is cut into the largest that fit, and its last characters, fewer than the
+    least length, are in a window with those before them. A text with fewer characters than that is one window.
+    """
+    least, block = BANDS[0], sum(BANDS)
+    at = [1 + sum(BANDS[:i]) for i in range(len(BANDS))]
+    fitting = "|".join(f".{{{n}}}" for n in sorted(BANDS, reverse=True))
+    plain = F.regexp_replace(F.coalesce("text", F.lit("")), f"[^A-Za-z0-9+/_=-]+|{CANDIDATE}", "")
+    blocks = docs.select(F.explode(F.regexp_extract_all(plain, F.lit(f".{{{block}}}(?=.{{{least}}}|\\z)|.+"), F.lit(0))).alias("block"))
+    b = F.col("block")
+    rest = F.when(F.length(F.regexp_replace(b, fitting, "")) > 0, F.array(F.right(b, F.lit(least)))).otherwise(F.array().cast("array<string>"))
+    cut = F.when(F.length(b) == block, F.array(*[F.substring(b, i, n) for i, n in zip(at, BANDS)])).when(F.length(b) < least, F.array(b))
+    return blocks.select(F.explode(cut.otherwise(F.concat(F.regexp_extract_all(b, F.lit(fitting), F.lit(0)), rest))).alias("run"))
 
 
 Fit = dict[int, tuple[list[float], list[float]]]
@@ -158,13 +201,13 @@ Fit = dict[int, tuple[list[float], list[float]]]
 
 def language(docs: DataFrame) -> Fit:
     """For each encoding, the tests' means in language and the weights of the combination. Of each encoding a row of sums reaches the driver."""
-    n = F.col("m.n")
-    test = [F.col(f"m.{t}") for t in TESTS]
-    sums = [F.count("*").alias("k"), F.sum(n).alias("n")]
-    sums += [F.sum(x).alias(f"x{i}") for i, x in enumerate(test)] + [F.sum(n * x).alias(f"n{i}") for i, x in enumerate(test)]
-    sums += [F.sum(n * test[i] * test[j]).alias(f"q{i}{j}") for i in range(3) for j in range(3)]
-    # rows without a window have no encoding
-    rows = windows(docs).select(measured(F.col("run")).alias("m")).groupBy("m.e").agg(*sums).where("e is not null").collect()
+    n, test = F.col("n"), [F.col(t) for t in TESTS]
+    # a position of a text without a window of the least length weighs as one in such a window
+    w = F.least(F.length("run") / F.lit(float(BANDS[0])), F.lit(1.0))
+    sums = [F.sum(w).alias("k"), F.sum(w * n).alias("n")]
+    sums += [F.sum(w * x).alias(f"x{i}") for i, x in enumerate(test)] + [F.sum(w * n * x).alias(f"n{i}") for i, x in enumerate(test)]
+    sums += [F.sum(w * n * test[i] * test[j]).alias(f"q{i}{j}") for i in range(3) for j in range(3)]
+    rows = measured_rows(windows(docs)).groupBy("e").agg(*sums).collect()
     return combined({r["e"]: {k: r[k] for k in r.asDict() if k != "e"} for r in rows})
 
 

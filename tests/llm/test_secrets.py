@@ -140,6 +140,41 @@ def test_tests_and_evidence_against_numpy(spark):
         assert got[i]["p"] <= exact + 1e-9 and (z <= 0 and got[i]["p"] == 0 or z < 0.5 or got[i]["p"] > 0.9 * exact - 0.1 or exact > 290)
 
 
+def cut(text):
+    """The windows of a text, by their definition."""
+    plain = "".join(x for x in re.findall("[A-Za-z0-9+/_=-]+", text or "") if len(x) < 20)
+    out, at = [], 0
+    while len(plain) - at == 316 or len(plain) - at >= 336:
+        for n in secrets.BANDS:
+            out, at = [*out, (at, at + n)], at + n
+    while len(plain) - at >= 20:
+        n = max(n for n in secrets.BANDS if n <= len(plain) - at)
+        out, at = [*out, (at, at + n)], at + n
+    if at < len(plain):
+        out.append((max(len(plain) - 20, 0), len(plain)))
+    assert {x for a, b in out for x in range(a, b)} == {*range(len(plain))} and sum(b - a for a, b in out) < len(plain) + 20
+    return [plain[a:b] for a, b in out]
+
+
+def test_language_is_fitted_on_all_ordinary_text(spark):
+    """Every position of every text is in a window, and the fit is that of all windows."""
+    sizes = [0, 1, 2, 3, 19, 20, 21, 39, 127, 128, 315, 316, 317, 335, 336, 337, 632, 651, 652, 5000]
+    alone = [(i, " ".join(re.findall(".{1,7}", "".join(language(n, i).split())[:n]))) for i, n in enumerate(sizes)]
+    texts = corpus.TEXTS + TEXTS[-8:] + alone + [(900 + i, language(150, i)) for i in range(40)] + [(950, f"{language(60, 1)} {B64}, {language(60, 2)}é{B64}")]
+    docs = corpus.documents(spark, texts)
+    want = sorted(x for _, t in texts for x in cut(t))
+    assert sorted(r["run"] for r in secrets.windows(docs).collect()) == want
+    rows = [(min(len(x) / 20, 1.0), *by_definition(x)) for x in want if len(x.rstrip("=")) > 1]
+    large = max({r[1] for r in rows}, key=lambda e: sum(r[1] == e for r in rows))
+    x = np.array([r for r in rows if r[1] == large])
+    mean = x[:, 0] @ x[:, 3:] / x[:, 0].sum()
+    cov = ((x[:, 3:] - mean) * (x[:, 0] * x[:, 2])[:, None]).T @ (x[:, 3:] - mean) / x[:, 0].sum()
+    w = np.linalg.solve(cov + 1e-6 * np.eye(3), np.array([1 / len(secrets.ENCODINGS[large][1]), 0, 0]) - mean)
+    fit = secrets.language(docs)[large]
+    assert np.allclose(fit[0], mean, rtol=1e-6) and np.allclose(fit[1], w / np.sqrt(w @ cov @ w), rtol=1e-4)
+    assert secrets.language(corpus.documents(spark, [(i, f"key no {i}") for i in range(9)]))
+
+
 def test_thresholds_against_benjamini_and_hochberg(spark):
     texts, _ = random_table()
     docs = corpus.documents(spark, texts)
