@@ -287,7 +287,7 @@ both_ways(
     {
         "q": ("i/7", _INT), "r": ("i % 7", _INT), "neg": ("-i", _INT), "inv": ("~i", _INT), "a": ("i & 12", _INT), "o": ("i | 5", _INT), "x": ("i ^ 9", _INT), "loose": ("8 | 1 = 1", _INT),
         "up": ("ceil(p_retailprice)", _REAL), "down": ("floor(p_retailprice)", _REAL), "low": ("least(i, p_size, 20)", _INT), "high": ("greatest(i, p_size)", _INT), "side": ("i > 0 ? 1 : 2", _INT),
-        "seventh": ("CAST(round(CAST(p_retailprice AS DECIMAL)/7.0, 0) AS BIGINT)", _LONG), "tenths": ("CAST(p_retailprice AS DECIMAL)*0.1", "0.0"), "root": ("CAST(sqrt(CAST(i*i AS DOUBLE PRECISION)) AS INTEGER)", _INT),
+        "seventh": ("CAST(round(CAST(p_retailprice AS DECIMAL)/7.0, 0) AS BIGINT)", _LONG), "tenths": ("CAST(p_retailprice AS DECIMAL)*0.1", "0.0"), "root": ("CAST(sqrt(CAST(CAST(i AS BIGINT)*i AS DOUBLE PRECISION)) AS INTEGER)", _INT),
         "power": ("CAST(round(CAST(exp(log(p_retailprice)) AS DECIMAL), 2)*100 AS BIGINT)", _LONG), "first": ("$(i)", _INT), "long": ("$(p_partkey)", _INT), "alike": ("#(p_partkey, p_name) = #(p_partkey, p_name)", _INT),
     },
     """SELECT p_partkey, i // 7 AS q, i % 7 AS r, -i AS neg, ~i AS inv, i & 12 AS a, i | 5 AS o, xor(i, 9) AS x, 8 | 1 AS loose, ceil(p_retailprice) AS up, floor(p_retailprice) AS down,
