@@ -16,7 +16,7 @@ def test_query(spark, sf, duck, name):
     same_rows(QUERIES[name](spark, sf), duck, ORACLE_SQL[name])
 
 
-@pytest.mark.parametrize("name", ["fold_math"])
+@pytest.mark.parametrize("name", ["fold_math", "scalar_math"])
 def test_part_keys_whose_squares_are_beyond_integer(spark, sf, tmp_path, name):
     con = duckdb.connect()
     keys = [0, 47040, 47041, 1_199_999, 2**31 - 1, 701 - 2**31]
