@@ -31,6 +31,7 @@ from rivulet.llm.tokens import encoder, tokenizer_path
 CAPACITY = 4096
 END = 1
 SALTS = 256
+MEMORY = 262_144  # words that a worker remembers
 
 
 def pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, end: int = END) -> DataFrame:
@@ -38,21 +39,24 @@ def pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, e
     path = path or tokenizer_path()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        code = encoder(path)
-        for batch in batches:
-            out: list[list] = [[], [], [], [], []]
-            for first in range(0, batch.num_rows, 256):
-                some = batch.slice(first, 256)
-                flat, ends = code.encode_many(some.column(1).to_pylist())
-                flat = np.insert(flat, ends, end).astype("<u4")
-                ends = ends + np.arange(1, len(ends) + 1)
-                for doc_id, start, stop in zip(some.column(0).to_pylist(), [0, *ends[:-1].tolist()], ends.tolist(), strict=True):
-                    for k, at in enumerate(range(start, stop, capacity)):
-                        part = flat[at : min(at + capacity, stop)]
-                        for column, x in zip(out, (doc_id, k, at - start, len(part), zlib.crc32(part)), strict=True):
-                            column.append(x)
-            kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(out, kinds, strict=True)], names=["doc_id", "piece", "start", "length", "ids_crc32"])
+        code = encoder(path, MEMORY)
+        try:
+            for batch in batches:
+                out: list[list] = [[], [], [], [], []]
+                for first in range(0, batch.num_rows, 256):
+                    some = batch.slice(first, 256)
+                    flat, ends = code.encode_many(some.column(1).to_pylist())
+                    flat = np.insert(flat, ends, end).astype("<u4")
+                    ends = ends + np.arange(1, len(ends) + 1)
+                    for doc_id, start, stop in zip(some.column(0).to_pylist(), [0, *ends[:-1].tolist()], ends.tolist(), strict=True):
+                        for k, at in enumerate(range(start, stop, capacity)):
+                            part = flat[at : min(at + capacity, stop)]
+                            for column, x in zip(out, (doc_id, k, at - start, len(part), zlib.crc32(part)), strict=True):
+                                column.append(x)
+                kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(out, kinds, strict=True)], names=["doc_id", "piece", "start", "length", "ids_crc32"])
+        finally:
+            code.rest()
 
     return docs.select("doc_id", "text").mapInArrow(cut, "doc_id long, piece int, start long, length long, ids_crc32 long")
 

@@ -7,15 +7,19 @@ words; forgetting some costs time and changes nothing.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import functools
 import os
 from array import array
 
 import numpy as np
+import pyarrow as pa
 
 TOKENIZER = "word_bpe_49k.json"
 VOCAB = 49408
 MEMORY = 1_000_000
+KEPT = 65_536
 MARKS = b",."
 
 
@@ -110,6 +114,12 @@ class WordEncoder:
             got |= {i: e.ids for i, e in zip(others, found, strict=True)}
         self.held.add([word for word, _, _ in items], [got[i] + tail for i, (_, _, tail) in enumerate(items)])
 
+    def rest(self, kept: int = KEPT) -> None:
+        """At a task's end: forgets all words where more than `kept` are held, as an idle worker lives on beside the stages that follow."""
+        if len(self.held.row) + len(self.old.row) > kept:
+            self.held, self.old = Memory(), Memory()
+            give_back()
+
     def encode(self, text: str | None) -> np.ndarray:
         """The ids of a whole text; null: none."""
         return self.encode_many([text])[0]
@@ -144,11 +154,20 @@ class WordEncoder:
 
 
 @functools.lru_cache(maxsize=2)
-def encoder(path: str) -> WordEncoder:
-    """One for each worker process and file."""
-    return WordEncoder(path)
+def encoder(path: str, memory: int = MEMORY) -> WordEncoder:
+    """One for each worker process, file and size of its memory."""
+    return WordEncoder(path, memory)
 
 
 def forget() -> None:
     """Frees a worker's memory of words, where the tasks to come encode no texts."""
-    encoder.cache_clear()
+    if encoder.cache_info().currsize:
+        encoder.cache_clear()
+        give_back()
+
+
+def give_back() -> None:
+    """Hands freed memory back to the system, where the C library can."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)

@@ -1,9 +1,12 @@
+import gc
 import zlib
 
 import corpus
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from rivulet.llm import packing, tokenfile, tokens
@@ -122,3 +125,15 @@ def test_plan_uses_every_piece_once():
         spans = sorted((r[1], r[1] + r[2] * r[4]) for r in rows if r[0] == length)
         assert spans[0][0] == 0 and spans[-1][1] == n and all(a[1] == b[0] for a, b in zip(spans[:-1], spans[1:], strict=True))
     assert max(r[3] + r[4] for r in rows) <= 1036 and len(rows) < 40
+
+
+def test_packing_leaves_no_memory_of_many_words_in_idle_workers(spark):
+    def held(batches):
+        list(batches)
+        yield pa.RecordBatch.from_arrays([pa.array([sum(len(m.row) for x in gc.get_objects() if isinstance(x, tokens.WordEncoder) for m in (x.held, x.old))], pa.int64())], names=["n"])
+
+    n = tokens.KEPT + 5000
+    texts = [" ".join(f"w{i}x{k}" for k in range(n)) for i in range(2)]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(2, "doc_id")
+    assert packing.pieces(docs).agg(F.sum("length"), F.countDistinct("doc_id")).first()[1] == 2
+    assert max(r[0] for r in spark.range(8).repartition(8).mapInArrow(held, "n long").collect()) <= tokens.KEPT
